@@ -20,7 +20,7 @@ rows each get a row; an empty table gives an empty result; further columns are n
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,31 +56,43 @@ TEMPLATES = (
 
 
 def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    h, _, _, doc = tk.words(*tk.codepoints(pa.array(texts, pa.string())))
+    return word_terms(pa.array(texts, pa.string()))
+
+
+def word_terms(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    h, _, _, doc = tk.words(*tk.codepoints(col))
     return h, doc
 
 
-def document_frequency(texts: DataFrame, keys: np.ndarray) -> np.ndarray:
-    """In how many texts (one column) each of the sorted hashes occurs as a word; all texts are read."""
+def document_frequency(texts: DataFrame, size: int, hits: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
+    """In how many texts (one column) each of size terms occurs; all texts are read.  hits: the numbers of the terms of each text, each once a text."""
+    if not size:
+        return np.zeros(0, np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(keys), np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for part in tk.slices(batch, 0):
-                h, _, _, doc = tk.words(*tk.codepoints(part.column(0)))
-                at = tk.lookup(keys, h)
-                hit = at >= 0
-                code = np.unique(doc[hit] * len(keys) + at[hit])
-                total += np.bincount(code % len(keys), minlength=len(keys))
+                total += np.bincount(hits(part.column(0)), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["k", "n"])
 
-    out = np.zeros(len(keys), np.int64)
-    rows = texts.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row a template term
+    out = np.zeros(size, np.int64)
+    rows = texts.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # a row a term
     out[rows["k"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
+def word_hits(keys: np.ndarray) -> Callable[[pa.Array], np.ndarray]:
+    def hits(col: pa.Array) -> np.ndarray:
+        h, doc = word_terms(col)
+        at = tk.lookup(keys, h)
+        some = at >= 0
+        return np.unique(doc[some] * len(keys) + at[some]) % len(keys)
+
+    return hits
+
+
 class Scorer:
     def __init__(self, templates: tuple[tuple[str, str], ...], keys: np.ndarray, df: np.ndarray, n: int, line_min: float, file_min: float):
         self.templates = sorted(templates)
@@ -145,7 +157,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     """doc_id, path, license (null: none), how ("own", "inherited", "none"), score (of the own line) and from_dir (of an inherited one), for every row of files."""
     rows = files.select(files[id_col].cast("long").alias("doc_id"), files[path_col].cast("string").alias("path"), files[text_col].cast("string").alias("text"))
     keys = np.unique(_terms([t[1] for t in templates])[0])
-    scorer = Scorer(templates, keys, document_frequency(rows.select("text"), keys), rows.count(), line_min, file_min)
+    scorer = Scorer(templates, keys, document_frequency(rows.select("text"), len(keys), word_hits(keys)), rows.count(), line_min, file_min)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

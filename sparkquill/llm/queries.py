@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, licenses, ppm, repetition
+from . import imatch, licenses, ppm, repetition, toxicity
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,13 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.score(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_imatch, op5_repetition, op9_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_imatch, op5_repetition, op8_toxicity, op9_language_id)}
 ORACLES: dict[str, str] = {"op1_license_scan": licenses.SQL, "op2_imatch": imatch.SQL}
