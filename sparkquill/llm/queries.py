@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, licenses, ppm, repetition, toxicity
+from . import bpe, imatch, licenses, ppm, repetition, secrets, simple8b, toxicity
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,18 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.score(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,5 +40,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_imatch, op5_repetition, op8_toxicity, op9_language_id)}
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.SQL, "op2_imatch": imatch.SQL}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(secrets.document_versions(table(spark, sf_dir, "documents")))[0]
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_imatch, op4_simple8b, op5_repetition, op6_byte_bpe, op8_toxicity, op9_language_id, op10_secret_scan)}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.SQL, "op2_imatch": imatch.SQL, "op10_secret_scan": secrets.SQL}

@@ -231,6 +231,48 @@ def lookup(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+class Slots:
+    """A growing hash table from 64-bit hashes to the order in which they came (open addressing, all keys of a call in step)."""
+
+    def __init__(self, bits: int = 16):
+        self.size, self.bits = 0, bits
+        self.keys, self.values = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32)
+
+    def add(self, h: np.ndarray) -> None:
+        """Distinct hashes that aren't there yet."""
+        if (self.size + len(h)) * 2 > len(self.keys):
+            used = self.values >= 0
+            order = np.argsort(self.values[used])
+            old = self.keys[used][order]
+            self.__init__(max(self.bits, int((self.size + len(h)) * 3).bit_length()))
+            h = np.concatenate([old, h])
+        number = np.arange(self.size, self.size + len(h), dtype=np.int32)
+        self.size += len(h)
+        at = (h >> U64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            spot = at[left]
+            free = self.values[spot] < 0
+            self.values[spot[free]] = number[left[free]]  # where several want one place, the last stays
+            won = self.values[spot] == number[left]
+            self.keys[spot[won]] = h[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        at = (h >> U64(64 - self.bits)).astype(np.int64)
+        out = self.values[at].astype(np.int64)
+        left = np.flatnonzero((out >= 0) & (self.keys[at] != h))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            spot = at[left]
+            value = self.values[spot]
+            out[left] = value
+            left = left[(value >= 0) & (self.keys[spot] != h[left])]
+        return out
+
+
 def strings(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """The spans as an Arrow string array."""
     size = end - start
