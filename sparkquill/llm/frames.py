@@ -24,11 +24,19 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; one of our own only where none is set (tests, local runs)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not hasattr(spark.sparkContext, "_own_scratch"):
+        spark.sparkContext._own_scratch = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
+    return spark.sparkContext._own_scratch
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the session names in spark.checkpoint.dir; a folder of its own only where none is set (tests, local runs)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """df written to the shared folder, so that what follows doesn't go back to its inputs."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint(eager=True)

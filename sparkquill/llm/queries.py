@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, imatch, licenses, ppm, repetition, secrets, simple8b, toxicity
+from . import bpe, imatch, licenses, ngram_join, packing, ppm, repetition, secrets, simple8b, toxicity
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.pack(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,5 +52,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(secrets.document_versions(table(spark, sf_dir, "documents")))[0]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_imatch, op4_simple8b, op5_repetition, op6_byte_bpe, op8_toxicity, op9_language_id, op10_secret_scan)}
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.SQL, "op2_imatch": imatch.SQL, "op10_secret_scan": secrets.SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_imatch, op3_ngram_join, op4_simple8b, op5_repetition, op6_byte_bpe, op7_packing, op8_toxicity, op9_language_id, op10_secret_scan)}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.SQL, "op2_imatch": imatch.SQL, "op3_ngram_join": ngram_join.SQL, "op10_secret_scan": secrets.SQL}
