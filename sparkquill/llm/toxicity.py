@@ -36,7 +36,7 @@ from .licenses import document_frequency
 
 GRAMS, TIMES = (5, 7), 3
 SAMPLE_ROWS, MIN_CHI2, MIN_LIFT, MAX_TERMS, NEIGHBOURS, BLOCK, THRESHOLD = 20_000, 25.0, 5.0, 5_000, 15, 64, 0.5
-CACHE = 50_000
+CACHE, OPEN_FIRST = 50_000, 8
 SCHEMA = "doc_id long, toxic_score double, is_toxic boolean, vote double, evidence array<struct<doc_id:long,cosine:double,toxic:boolean>>"
 _HEAD, _TAIL = tk.U64(0xA24BAED4963EE407), tk.U64(0x9FB21C651E98DF25)
 
@@ -91,40 +91,40 @@ class Terms:
 
 
 class Index:
-    """Examples as unit vectors: postings by block, and each term's greatest weight in each block."""
+    """Examples as unit vectors: postings by term, and each term's greatest weight in each block of examples."""
 
     def __init__(self, ids: np.ndarray, toxic: np.ndarray, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
         self.ids, self.toxic = ids, toxic
         blocks = -(-max(len(ids), 1) // BLOCK)
         self.most = np.zeros((n_terms, blocks))
         np.maximum.at(self.most, (terms, rows // BLOCK), weights)
-        order = np.lexsort((rows, terms, rows // BLOCK))
-        self.rows, self.terms, self.weights = rows[order], terms[order], weights[order]
-        self.cuts = np.searchsorted(self.rows // BLOCK, np.arange(blocks + 1))
+        order = np.lexsort((rows, terms))
+        self.rows, self.weights = rows[order], weights[order]
+        self.cuts = np.searchsorted(terms[order], np.arange(n_terms + 1)).tolist()
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest, cosine above 0, best first; ties by lower id."""
         bound = weights @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.searchsorted(-bound[order], 0.0, side="left")]
-        q = np.zeros(len(self.most))
-        q[terms] = weights
-        found, cosines, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
-        while at < len(order) and (len(found) < k or bound[order[at]] >= least - 1e-6):
-            opened = order[at : at + step]
-            at, step = at + step, step * 4
-            s = np.concatenate([np.arange(self.cuts[b], self.cuts[b + 1]) for b in opened])
-            r = self.rows[s]
-            rows, inv = np.unique(r, return_inverse=True)
-            dots = np.round(np.bincount(inv, weights=q[self.terms[s]] * self.weights[s], minlength=len(rows)), 6)
-            good = dots > 0
+        spans = [(self.cuts[t], self.cuts[t + 1]) for t in terms.tolist()]
+        rows = np.concatenate([self.rows[a:b] for a, b in spans])
+        part = np.concatenate([self.weights[a:b] for a, b in spans]) * np.repeat(weights, [b - a for a, b in spans])
+        block = rows // BLOCK
+        found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        opened = np.zeros(len(bound), bool)
+        opened[np.argpartition(-bound, OPEN_FIRST)[:OPEN_FIRST] if len(bound) > OPEN_FIRST else slice(None)] = True
+        closed = ~opened
+        while opened.any():
+            mine = opened[block]
+            dots = np.round(np.bincount(rows[mine], weights=part[mine], minlength=len(self.ids)), 6)
+            at = np.flatnonzero(dots > 0)
             if skip is not None:
-                good &= self.ids[rows] != skip
-            found, cosines = np.append(found, rows[good]), np.append(cosines, dots[good])
+                at = at[self.ids[at] != skip]
+            found, cosines = np.append(found, at), np.append(cosines, dots[at])
             top = np.lexsort((self.ids[found], -cosines))[:k]
             found, cosines = found[top], cosines[top]
-            if len(found) == k:
-                least = cosines[-1]
+            least = cosines[-1] if len(found) == k else 0.0
+            opened = closed & (bound > 0) & (bound >= least - 1e-6)
+            closed &= ~opened
         return found, cosines
 
 

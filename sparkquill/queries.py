@@ -536,9 +536,9 @@ def interaction_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.responses(interactions, bridge, sources).select(F.col("interaction_id").alias("o_orderkey"), F.col("source_id").alias("l_partkey"), "p_name")
 
 
-@query("SELECT DISTINCT md5(props) AS config_hash, props AS config FROM events WHERE event_type <> 'click' AND md5(props) NOT IN (SELECT md5(props) FROM events WHERE event_type = 'click')")
+@query("WITH e AS (SELECT event_type, user_id || ' ' || props AS config FROM events) SELECT DISTINCT md5(config) AS config_hash, config FROM e WHERE event_type <> 'click' AND config NOT IN (SELECT config FROM e WHERE event_type = 'click')")
 def config_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t(spark, sf_dir, "events").select("event_type", F.col("props").alias("config"))
+    e = t(spark, sf_dir, "events").select("event_type", F.concat("user_id", F.lit(" "), "props").alias("config"))
     return conversation.new_configs(e.where("event_type <> 'click'"), e.where("event_type = 'click'").select(F.md5("config").alias("config_hash")))
 
 
