@@ -104,7 +104,7 @@ class TestRetrieval:
         assert [r["chunk_id"] for r in retrieval.mmr(rows, 2).orderBy("place").collect()] == [1, 3]
 
     def test_hot_plans(self, spark):
-        scored = spark.range(100).select(F.lit(1).alias("query_id"), F.col("id").alias("chunk_id"), F.rand(1).alias("score"))
+        scored = spark.range(100).select((F.col("id") % 7).alias("query_id"), F.col("id").alias("chunk_id"), F.rand(1).alias("score"))
         plan = retrieval.best(scored, ("query_id",), 3)._jdf.queryExecution().executedPlan().toString()
         assert "WindowGroupLimit" in plan
 
