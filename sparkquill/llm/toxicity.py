@@ -10,7 +10,8 @@ Each document is a query, its whole text.  Its k nearest examples are exact: exa
 term's greatest weight in each block, and blocks whose bound (the sum of query weight times that maximum) is below the
 k-th cosine so far can't hold a neighbour and aren't opened.  A document is never its own neighbour.  The neighbours vote
 with weight cosine**2; isotonic regression of the examples' labels on their own leave-one-out votes turns a vote into a
-probability.  A document that has none of the terms has no neighbour and gets the rate of such documents in the sample.
+probability.  A document that has none of the terms has no neighbour: it gets the rate of such documents
+in the sample, and is never called toxic, as nothing speaks for it.
 
 Texts are read three times (selection reads the sample alone) and never shuffled; the driver holds at most max_terms
 terms and sample_rows sparse vectors, whatever the corpus is.
@@ -262,14 +263,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_row
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, toxic_score, is_toxic (score at least threshold), vote (null: no neighbour) and evidence for every row of docs."""
+    """doc_id, toxic_score, is_toxic (score at least threshold, and some neighbour), vote (null: no neighbour) and evidence for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, 1):
                 p, votes, evidence = shared.value.score(part.column(0), part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array([x >= threshold for x in p]), pa.array(votes, pa.float64()), evidence], ["doc_id", "toxic_score", "is_toxic", "vote", "evidence"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array([x >= threshold and v is not None for x, v in zip(p, votes, strict=True)], pa.bool_()), pa.array(votes, pa.float64()), evidence], ["doc_id", "toxic_score", "is_toxic", "vote", "evidence"])
 
     return text_rows(docs).mapInArrow(work, SCHEMA)
 
@@ -282,7 +283,7 @@ def keep(docs: DataFrame, labels: DataFrame | None = None, model: Model | None =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, at):
-                p, _, _ = shared.value.score(part.column(name), part.column(at))
-                yield part.filter(pa.array([x < threshold for x in p]))
+                p, votes, _ = shared.value.score(part.column(name), part.column(at))
+                yield part.filter(pa.array([x < threshold or v is None for x, v in zip(p, votes, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
