@@ -204,6 +204,16 @@ def test_nearest_neighbours_and_walk(few):
     assert packing.walk([(1, 2, 0.9), (2, 3, 0.5), (2, 4, 0.7)]) == [(0, 1), (0, 2), (0, 4), (1, 3)]
 
 
+def test_neighbours_in_several_tasks():
+    rnd = np.random.default_rng(4)
+    block, ids = [np.unique(rnd.integers(0, 60, 25).astype(np.uint64)) for _ in range(80)], list(range(80))
+    ask = lambda order, part, parts: {tuple(r) for r in zip(*(c.to_pylist() for c in ngram_join._nearest([block[i] for i in order], [ids[i] for i in order], 0.1, 4, part, parts)), strict=True)}
+    whole = ask(range(80), 0, 1)
+    assert len(whole) == 320
+    parts = [ask(rnd.permutation(80).tolist(), p, 5) for p in range(5)]  # rows reach each part in an order of its own
+    assert set.union(*parts) == whole and sum(map(len, parts)) == 320
+
+
 def test_windows(few):
     docs, size = texts(few), 64
     got = packing.pack(few, window=size).toPandas().sort_values(["window_id", "slot"])
