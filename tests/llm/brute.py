@@ -33,6 +33,21 @@ def pairs(docs: dict[int, str], n: int, threshold: float) -> dict[tuple[int, int
     return out
 
 
+def cosines(docs: dict[int, str]) -> dict[int, list[tuple[float, int]]]:
+    """(-cosine, document) of every other document that shares a word, by TF-IDF over all words."""
+    tf = {i: Counter(words(t)) for i, t in docs.items()}
+    df = Counter(w for c in tf.values() for w in c)
+    vecs = {i: {w: n * (math.log((1 + len(docs)) / (1 + df[w])) + 1) for w, n in c.items()} for i, c in tf.items()}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vecs.items()}
+    out: dict[int, list] = {i: [] for i in docs}
+    for a, b in combinations(sorted(docs), 2):
+        if vecs[a].keys() & vecs[b].keys():
+            c = round(sum(x * vecs[b].get(w, 0.0) for w, x in vecs[a].items()) / norm[a] / norm[b], 6)
+            out[a].append((-c, b))
+            out[b].append((-c, a))
+    return out
+
+
 def groups(edges: list[tuple[int, int]]) -> dict[int, int]:
     """Least id of each one's group."""
     to: dict[int, int] = {}

@@ -214,6 +214,26 @@ def test_neighbours_in_several_tasks():
     assert set.union(*parts) == whole and sum(map(len, parts)) == 320
 
 
+@pytest.mark.parametrize("block", [packing.BLOCK, 7])
+def test_related_documents_against_all_pairs(few, monkeypatch, block):
+    monkeypatch.setattr(packing, "BLOCK", block)
+    docs = texts(few)
+    got = {(r["a"], r["b"]): r["s"] for r in packing.related(few, 4).collect()}
+    near = brute.cosines(docs)
+    want = {tuple(sorted((i, b))): -c for i, x in near.items() for c, b in sorted(x)[:4]}
+    assert len(set(got) & set(want)) >= 0.99 * len(want) and len(got) <= 1.01 * len(want)  # ties in the sixth place aside
+    assert all(abs(got[p] - want[p]) < 2e-6 for p in set(got) & set(want))
+    linked = {i for p in got for i in p}
+    assert linked == {i for i, x in near.items() if x} and len(linked) > 2 * len({i for p in brute.pairs(docs, packing.N, packing.FLOOR) for i in p})
+
+
+def test_related_texts_share_a_path(spark):
+    river, steel = "the river runs under old stone bridges toward a quiet harbour".split(), "molten steel cools slowly inside heavy iron moulds near furnaces".split()
+    rows = [(i, " ".join(w[i % 7 :] + w[: i % 7][::-1])) for i, w in enumerate([river, steel] * 4)]  # no 5-gram rule finds all of them
+    path = {r["doc_id"]: r["path"].split("/")[0] for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert path == {i: str(i % 2) for i in range(8)}
+
+
 def test_windows(few):
     docs, size = texts(few), 64
     got = packing.pack(few, window=size).toPandas().sort_values(["window_id", "slot"])
