@@ -5,6 +5,11 @@ version) pairs that have been scanned and the findings of each.  A scan takes th
 given, drops the pairs that the ledger has (anti-join), scans the remaining texts, each blob once, with the rules that are
 new to it, and joins all findings, old and new, back to every path that holds the blob.
 
+NARROW are the rules that the SQL has too.  Two more take what these leave: a private key's whole body, through its END
+line or to the end of its base64 block, and keywords inside identifiers or quotes, with quoted or unquoted values.  The
+latter looks at the text as the rules before it leave it, so what they found counts once (if one of them changes, its
+version has to go up too); a private key counts under private-key, by its BEGIN line, and under private-key-block.
+
 Rules are regular expressions with literals of which one must occur, so most texts are turned away by a substring search.
 Everything is built-in expressions.  Texts are shuffled once, by blob, to meet their copies; the join back to paths moves
 only hashes.  Of a secret the result has its SHA-256 and a mask, never the text.
@@ -28,9 +33,10 @@ class Rule(NamedTuple):
     version: int
     pattern: str  # the whole match is the secret, in the common part of Java's and RE2's syntax
     anchors: tuple[str, ...]  # in lower case; a match holds one of them
+    after: bool = False  # looks at what the rules before it leave
 
 
-RULES = (
+NARROW = (
     Rule("aws-access-key", 1, r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", ("akia", "asia")),
     Rule("github-token", 1, r"\bgh[pousr]_[0-9A-Za-z]{36}\b", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack-token", 1, r"\bxox[abprs]-[0-9A-Za-z-]{10,72}", ("xox",)),
@@ -38,6 +44,25 @@ RULES = (
     Rule("json-web-token", 1, r"\beyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}", ("eyj",)),
     Rule("assigned-secret", 1, r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s{0,4}[:=]\s{0,4}[\"'][^\"'\s]{8,128}[\"']", ("token", "secret", "passw", "api", "access")),
 )
+_KEY = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+_GAP = r"(?:\\[nr]|\s)*"
+RULES = (
+    Rule(
+        "private-key-block",
+        1,
+        rf"-----BEGIN {_KEY}(?:[^-]*(?:-{{1,4}}[^-]+){{0,50}}-----END {_KEY}|(?:\s*[A-Za-z-]+: [^\n]*){{0,8}}(?:{_GAP}[A-Za-z0-9+/=]{{16,}}){{0,400}}(?:{_GAP}[A-Za-z0-9+/]{{1,15}}={{1,2}})?)",
+        ("private key",),
+    ),
+    *NARROW,
+    Rule(
+        "assigned-secret-wide",
+        1,
+        r"(?i)(?:token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key)[A-Za-z0-9_.-]{0,64}\\?[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}"
+        r"(?:\\?\"[^\"\s\\]{8,}\\?\"|\\?'[^'\s\\]{8,}\\?'|[^\s\"'`,;()\[\]{}<>\\]{8,}+(?![(\[{]))",
+        ("token", "secret", "passw", "passphrase", "api", "access"),
+        after=True,
+    ),
+)
 LEDGER = "blob string, rule string, version int, findings array<string>"
 
 
@@ -45,12 +70,24 @@ def blob(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _matches(text: Column, low: Column, rule: Rule) -> Column:
-    """All matches of the rule in the text, none without its literals."""
+def _some(low: Column, rule: Rule) -> Column:
     some = F.lit(False)
     for anchor in rule.anchors:
         some = some | F.contains(low, F.lit(anchor))
-    return F.when(some, F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return some
+
+
+def _without(text: Column, low: Column, rules: tuple[Rule, ...]) -> Column:
+    """The text with the matches of the rules, one rule after the other, replaced by [rule]; low: the text as it was, in lower case."""
+    for rule in rules:
+        text = F.when(_some(low, rule), F.regexp_replace(text, F.lit(rule.pattern), F.lit(f"[{rule.rule}]"))).otherwise(text)
+    return text
+
+
+def _matches(text: Column, low: Column, rule: Rule, before: tuple[Rule, ...]) -> Column:
+    """All matches of the rule in the text, none without its literals; before: the rules before it."""
+    read = _without(text, low, before) if rule.after else text
+    return F.when(_some(low, rule), F.regexp_extract_all(read, F.lit(rule.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -63,7 +100,7 @@ def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
         rows = rows.join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
     rows = rows.where(F.size(F.array_except(F.array(*(F.lit(f"{r.rule}@{r.version}") for r in rules)), "done")) > 0)  # so a blob that is done isn't read further
     one = rows.dropDuplicates(["blob"]).withColumn("low", F.lower("text"))
-    each = F.array(*(F.struct(F.lit(r.rule).alias("rule"), F.lit(r.version).alias("version"), F.when(~F.array_contains("done", f"{r.rule}@{r.version}"), _matches(F.col("text"), F.col("low"), r)).alias("findings")) for r in rules))
+    each = F.array(*(F.struct(F.lit(r.rule).alias("rule"), F.lit(r.version).alias("version"), F.when(~F.array_contains("done", f"{r.rule}@{r.version}"), _matches(F.col("text"), F.col("low"), r, rules[:i])).alias("findings")) for i, r in enumerate(rules)))
     return one.select("blob", F.explode(each).alias("x")).select("blob", "x.*").where("findings IS NOT NULL")
 
 
@@ -89,12 +126,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret in text_col replaced by [rule]; every row is kept."""
-    text = docs[text_col]
-    for rule in rules:
-        low, some = F.lower(docs[text_col]), F.lit(False)
-        for anchor in rule.anchors:
-            some = some | F.contains(low, F.lit(anchor))
-        text = F.when(some, F.regexp_replace(text, F.lit(rule.pattern), F.lit(f"[{rule.rule}]"))).otherwise(text)
+    text = _without(docs[text_col], F.lower(docs[text_col]), rules)
     return docs.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
@@ -104,12 +136,12 @@ def document_versions(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    rules = ", ".join(f"('{r.rule}', {r.version}, '{r.pattern.replace(chr(39), chr(39) * 2)}')" for r in RULES)
+    rules = ", ".join(f"('{r.rule}', {r.version}, '{r.pattern.replace(chr(39), chr(39) * 2)}')" for r in NARROW)
     return f"""
 WITH rules AS (SELECT * FROM (VALUES {rules}) r(rule, version, pattern)),
 v AS (SELECT doc_id, coalesce(source, 'unknown') || '/' || doc_id AS path, text, sha256(text) AS blob FROM documents WHERE text IS NOT NULL),
 b AS (SELECT blob, any_value(text) AS text FROM v GROUP BY blob),
-m AS (SELECT blob, rule, version, {" ".join(["CASE rule", *(f"WHEN '{r.rule}' THEN regexp_extract_all(text, '{r.pattern.replace(chr(39), chr(39) * 2)}')" for r in RULES), "END"])} AS f FROM b, rules),
+m AS (SELECT blob, rule, version, {" ".join(["CASE rule", *(f"WHEN '{r.rule}' THEN regexp_extract_all(text, '{r.pattern.replace(chr(39), chr(39) * 2)}')" for r in NARROW), "END"])} AS f FROM b, rules),
 h AS (SELECT blob, rule, version, unnest(f) AS secret, generate_subscripts(f, 1) AS n FROM m WHERE len(f) > 0)
 SELECT doc_id, path, blob, rule, version, n::INTEGER AS n, sha256(secret) AS secret_sha256, substr(secret, 1, 4) || '...' || length(secret) AS mask FROM h JOIN v USING (blob)
 """

@@ -322,6 +322,41 @@ def test_ledger(spark):
     assert {(r["rule"], r["version"]) for r in new.collect()} == {("aws-access-key", 2)} and {r["version"] for r in found.collect()} == {2}
 
 
+BODY = "\n".join(["MIIEpAIBAAKCAQEA7b" + "Qx9" * 15] * 20 + ["aGk="])
+FORMS = {  # text: what must not be left, and the rule
+    'AWS_SECRET_ACCESS_KEY="wJalrXUtnFEMIK7MDENG"': ("wJalrXUtnFEMIK7MDENG", "assigned-secret-wide"),
+    'db_password = "hunter2hunter2"': ("hunter2", "assigned-secret-wide"),
+    '{"api_key": "abcdef0123456789"}': ("abcdef0123456789", "assigned-secret-wide"),
+    '{\\"api_key\\": \\"abcdef0123456789\\"}': ("abcdef0123456789", "assigned-secret-wide"),
+    "password=hunter2hunter2": ("hunter2", "assigned-secret-wide"),
+    "password: hunter2hunter2\nport: 80": ("hunter2", "assigned-secret-wide"),
+    'token = "0123456789abcdef"': ("0123456789abcdef", "assigned-secret"),
+    f"a\n-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{BODY}\n-----END RSA PRIVATE KEY-----\nb": ("MIIE", "private-key-block"),
+    f"-----BEGIN PRIVATE KEY-----\n{BODY}\nb": ("aGk=", "private-key-block"),
+    f'"-----BEGIN PRIVATE KEY-----{BODY.replace(chr(10), chr(92) + "n")}': ("MIIE", "private-key-block"),
+}
+
+
+def test_forms_of_secrets(spark):
+    d = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(FORMS)], "doc_id long, path string, text string")
+    left = {r["doc_id"]: r["text"] for r in secrets.redact(d).collect()}
+    found: dict = {}
+    for r in secrets.scan(d)[0].collect():
+        found.setdefault(r["doc_id"], []).append(r["rule"])
+    for i, (text, (secret, rule)) in enumerate(FORMS.items()):
+        assert secret not in left[i] and f"[{rule}]" in left[i], (text, left[i])
+        assert sorted(found[i]) == sorted([rule, *["private-key"] * (rule == "private-key-block")]), text
+        assert left[i] == brute.redact(text, secrets.RULES)
+    assert left[7] == "a\n[private-key-block]\nb"
+
+
+def test_no_secrets(spark):
+    some = ["password = get_password()", "the secret of a good token", "api_key = os.environ['API_KEY']", "-----BEGIN CERTIFICATE-----\nMIIE\n", "x" * 300_000 + " token " + "-a" * 100_000, "-----BEGIN PRIVATE KEY-----" + "-a" * 100_000]
+    d = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(some)], "doc_id long, path string, text string")
+    assert {r["doc_id"] for r in secrets.scan(d)[0].collect()} == {5}  # the BEGIN line alone
+    assert [r["text"] for r in secrets.redact(d).orderBy("doc_id").collect()][:5] == some[:5]
+
+
 # the pipeline
 
 
