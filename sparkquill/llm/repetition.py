@@ -6,10 +6,14 @@ of neighbours, each suffix's deepest LCP interval: the longest substring that st
 same document.  The spans of the maximal ones of at least min_units units are united; a document is rejected if they
 cover more than max_covered of its unit characters, or if the longest repeat has more than max_longest units.
 
+Shorter repeats count where they stand one after the other: a unit lies in a tandem if it belongs to a run of at least
+TIMES copies of one period of fewer than min_units units.  A document is also rejected if tandems cover more than
+max_covered of its unit characters.
+
 Occurrences may overlap.  Documents in which no run of min_units units occurs twice can't have such a repeat, which their
 hashes show; only the others reach the suffix array.  A document is worked on in one task and no row is shuffled.
 
-Defined results: null and empty texts, and texts without a unit, have no repeat (0.0 covered, longest 0) and are kept;
+Defined results: null and empty texts, and texts without a unit, have no repeat (0.0 covered, longest 0, tandem 0.0) and are kept;
 a null id stays null; repeated rows and ties each get their own row; an empty table gives an empty result; further
 columns of the input, whatever their names, are not read by score() and are returned untouched by keep().
 """
@@ -26,9 +30,10 @@ from . import textkit as tk
 from .frames import text_rows
 
 MIN_UNITS = 12
+TIMES = 3
 MAX_COVERED = 0.3
 MAX_LONGEST = 100
-SCHEMA = "doc_id long, n_units long, n_repeats long, covered double, longest long, keep boolean"
+SCHEMA = "doc_id long, n_units long, n_repeats long, covered double, longest long, tandem double, keep boolean"
 
 
 def suffix_array(sym: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -90,11 +95,30 @@ def longest_repeat(h: np.ndarray, doc: np.ndarray, last: np.ndarray) -> np.ndarr
     return best
 
 
-def analyse(col: pa.Array, min_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(units, maximal repeats, covered fraction, longest repeat) of each text."""
-    cps, bounds = tk.codepoints(col)
+Units = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def tandem(units: Units, docs: int, min_units: int, times: int = TIMES) -> np.ndarray:
+    """The fraction of each text's unit characters in runs of at least times copies of a period of fewer than min_units units."""
+    h, start, end, doc = units
+    hit = np.zeros(len(h), bool)
+    for period in range(1, min(min_units, len(h))):
+        same = (h[period:] == h[:-period]) & (doc[period:] == doc[:-period])
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+        first, last = edge[::2], edge[1::2]
+        long = last - first >= (times - 1) * period
+        reach = np.zeros(len(h) + 1, np.int64)
+        np.add.at(reach, first[long], 1)
+        np.add.at(reach, last[long] + period, -1)
+        hit |= np.cumsum(reach[:-1]) > 0
+    chars = np.bincount(doc, weights=end - start, minlength=docs)
+    return np.divide(np.bincount(doc, weights=(end - start) * hit, minlength=docs), chars, out=np.zeros(docs), where=chars > 0)
+
+
+def analyse(col: pa.Array, min_units: int, units: Units | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(units, maximal repeats, covered fraction, longest repeat) of each text; units: those of the texts, if they are there already."""
     docs = len(col)
-    h, start, end, doc = tk.units(cps, bounds)
+    h, start, end, doc = tk.units(*tk.codepoints(col)) if units is None else units
     n_units = np.bincount(doc, minlength=docs)
     chars = np.bincount(doc, weights=end - start, minlength=docs)
     repeats, covered, longest = np.zeros(docs, np.int64), np.zeros(docs), np.zeros(docs, np.int64)
@@ -129,20 +153,22 @@ def analyse(col: pa.Array, min_units: int) -> tuple[np.ndarray, np.ndarray, np.n
     return n_units, repeats, np.divide(covered, chars, out=np.zeros(docs), where=chars > 0), longest
 
 
-def _accept(covered: np.ndarray, longest: np.ndarray, max_covered: float, max_longest: int) -> np.ndarray:
-    return (covered <= max_covered) & (longest <= max_longest)
+def _accept(covered: np.ndarray, longest: np.ndarray, tandems: np.ndarray, max_covered: float, max_longest: int) -> np.ndarray:
+    return (covered <= max_covered) & (longest <= max_longest) & (tandems <= max_covered)
 
 
 def score(docs: DataFrame, min_units: int = MIN_UNITS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
-    """doc_id, n_units, n_repeats, covered, longest and keep, for every row of docs (doc_id, text)."""
+    """doc_id, n_units, n_repeats, covered, longest, tandem and keep, for every row of docs (doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, 1):
-                units, repeats, covered, longest = analyse(part.column(1), min_units)
+                each = tk.units(*tk.codepoints(part.column(1)))
+                units, repeats, covered, longest = analyse(part.column(1), min_units, each)
+                tandems = tandem(each, part.num_rows, min_units)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(units, pa.int64()), pa.array(repeats, pa.int64()), pa.array(covered), pa.array(longest, pa.int64()), pa.array(_accept(covered, longest, max_covered, max_longest))],
-                    ["doc_id", "n_units", "n_repeats", "covered", "longest", "keep"],
+                    [part.column(0), pa.array(units, pa.int64()), pa.array(repeats, pa.int64()), pa.array(covered), pa.array(longest, pa.int64()), pa.array(tandems), pa.array(_accept(covered, longest, tandems, max_covered, max_longest))],
+                    ["doc_id", "n_units", "n_repeats", "covered", "longest", "tandem", "keep"],
                 )
 
     return text_rows(docs).mapInArrow(work, SCHEMA)
@@ -155,7 +181,8 @@ def keep(docs: DataFrame, text_col: str = "text", min_units: int = MIN_UNITS, ma
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, at):
-                _, _, covered, longest = analyse(part.column(at), min_units)
-                yield part.filter(pa.array(_accept(covered, longest, max_covered, max_longest)))
+                each = tk.units(*tk.codepoints(part.column(at)))
+                _, _, covered, longest = analyse(part.column(at), min_units, each)
+                yield part.filter(pa.array(_accept(covered, longest, tandem(each, part.num_rows, min_units), max_covered, max_longest)))
 
     return docs.mapInArrow(work, docs.schema)

@@ -83,6 +83,22 @@ def repetition(text: str | None, min_units: int = 12) -> tuple[float, int]:
     return (sum(len(x) for x, h in zip(u, hit, strict=True) if h) / total if total else 0.0), max([b for b in best if b >= min_units], default=0)
 
 
+def tandem(text: str | None, min_units: int = 12, times: int = 3) -> float:
+    """Fraction of unit characters in runs of at least times copies of one period of fewer than min_units units: tries every start and period."""
+    u = [x.lower() for x in regex.findall(r"[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}\p{Z}\p{C}]+", text or "")]
+    hit = [False] * len(u)
+    for p in range(1, min_units):
+        for i in range(len(u) - times * p + 1):
+            if all(u[i + j] == u[i + j % p] for j in range(times * p)):
+                hit[i : i + times * p] = [True] * (times * p)
+                j = i + times * p
+                while j < len(u) and u[j] == u[j - p]:
+                    hit[j] = True
+                    j += 1
+    total = sum(map(len, u))
+    return sum(len(x) for x, h in zip(u, hit, strict=True) if h) / total if total else 0.0
+
+
 def char_grams(text: str | None) -> Counter:
     out: Counter = Counter()
     for w in words(text):

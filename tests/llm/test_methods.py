@@ -185,6 +185,23 @@ def test_repeats_over_fifty_words_are_rejected(spark):
     assert {r["doc_id"]: r["keep"] for r in repetition.score(d).collect()} == {1: False, 2: True}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("a b c d .".split()), max_size=40).map(" ".join), min_size=1, max_size=4), st.integers(2, 6))
+def test_tandems_against_all_runs(some, min_units):
+    col = pa.array(some)
+    got = repetition.tandem(repetition.tk.units(*repetition.tk.codepoints(col)), len(some), min_units)
+    assert np.allclose(got, [brute.tandem(t, min_units) for t in some])
+
+
+def test_repeated_words_are_rejected(spark):
+    words = ["Der", "schchsch", "öenge", "achlichach", "ung"]
+    rows = [(1, " ".join(w for w in words for _ in range(9))), (2, " ".join(f"w{i % 7}" for i in range(10)) + " very very very nice words of a text"), (3, "one two " * 5), (4, " ".join(words * 2))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: False, 2: True, 3: False, 4: True}
+    assert {r["doc_id"]: r["keep"] for r in repetition.score(d).collect()} == want
+    assert {r["doc_id"] for r in repetition.keep(d).collect()} == {i for i, k in want.items() if k}
+
+
 # 7
 
 
