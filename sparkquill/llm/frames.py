@@ -1,13 +1,12 @@
-"""Small helpers for the operators: reading tables, sizes checked before a broadcast, and cutting lineage."""
+"""Small helpers for the operators: reading tables, the shared folder, and cutting lineage."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +18,27 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if its counted rows are within the limit, else as it is (Spark then shuffles)."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; one of our own only where none is set (tests, local runs)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder that the session names in spark.checkpoint.dir.  Where none is set, a folder of our own that goes with
+    the process, for local masters alone: on a cluster each machine would have its own, so there it is an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not hasattr(spark.sparkContext, "_own_scratch"):
-        spark.sparkContext._own_scratch = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
-    return spark.sparkContext._own_scratch
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    if not hasattr(sc, "_own_scratch"):
+        own = tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc._own_scratch = f"file://{own}"
+    return sc._own_scratch
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """The folder is deleted, on whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

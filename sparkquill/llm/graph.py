@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frames import cut
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(u, v, m): edges both ways, m the least of u and its neighbours."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.withColumn("m", F.least("a", F.min("b").over(W.partitionBy("a"))))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(a, b, m): m is the least of a's b.  Minima are combined before the shuffle, so a vertex of many edges isn't one task's sort."""
+    return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,10 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = None
     while True:
-        large = _least(now).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _with_least(both).withColumn("m", F.least("a", "m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: to the least of the neighbours that aren't greater
-        m = F.min("b").over(W.partitionBy("a"))
-        small = large.withColumn("m", m)
+        small = _with_least(large)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = cut(small)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
