@@ -37,7 +37,7 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --- files ------------------------------------------------------------------------------------------------------------
+# files
 
 NAME = "'/' || source || '/' || lang || '/' || doc_id || '.md'"
 
@@ -132,7 +132,7 @@ def labels_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.labels(d.select(F.col("source").alias("label")), d.select(F.col("lang").alias("label")))
 
 
-# --- chunks and scalar transforms ---------------------------------------------------------------------------------------
+# chunks and scalar transforms
 
 
 def fixed_sql(width: int) -> str:
@@ -284,7 +284,7 @@ def table_splitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_tables(tables.withColumn("caption", F.concat(F.lit("Order "), "table_id")), 400)
 
 
-# --- layout -------------------------------------------------------------------------------------------------------------
+# layout
 
 
 @query(
@@ -343,7 +343,7 @@ def page_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.remapped(t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("page")), pages).select("s_suppkey", "page")
 
 
-# --- retrieval ------------------------------------------------------------------------------------------------------------
+# retrieval
 
 WIDTHS = (512, 1024)
 
@@ -511,7 +511,7 @@ def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.mmr(top, 5)
 
 
-# --- conversations and answers ----------------------------------------------------------------------------------------------
+# conversations and answers
 
 PAIRS = "pr AS (SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant')"
 

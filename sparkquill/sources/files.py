@@ -41,7 +41,7 @@ def restricted(files: DataFrame, names: DataFrame, column: str = "filename") ->
     return files.join(names.select(column).distinct(), column, "left_semi")
 
 
-# --- readers: bytes to a document's elements (kind, text, level or page) ----------------------------------------------
+# readers: bytes to a document's elements (kind, text, level or page)
 
 Element = tuple[str, str, int | None]
 
