@@ -137,7 +137,7 @@ def toxicity(docs: dict[int, str | None], labels: dict[int, int], k: int = 15, m
     for f in a:
         hit = a[f] + b[f]
         chi2 = total * (a[f] * (neg - b[f]) - b[f] * (pos - a[f])) ** 2 / max(1.0, hit * (total - hit) * pos * neg)
-        if a[f] >= 3 and a[f] * max(neg, 1) >= b[f] * pos * min_lift and (chi2 >= min_chi2 or not neg):
+        if a[f] * max(neg, 1) >= b[f] * pos * min_lift and (chi2 >= min_chi2 or not neg):
             terms.append(f)
     chosen = set(terms)
     df = Counter(f for s in feats.values() for f in s & chosen)
