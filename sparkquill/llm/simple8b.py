@@ -6,12 +6,15 @@ as a word of its own.  A document's ids are coded in blocks of BLOCK ids; each b
 document's row has the word at which each block starts, so blocks are decoded apart from each other.  Within a block each
 word takes as many ids as fit (a block's last word may be filled up with zeros).
 
-Coding goes through all blocks of a batch in step, decoding through all words of one selector at once.  The query codes the
-byte-level BPE ids of the documents; the payload is little-endian words.  No row is shuffled.
+Coding looks at all blocks of a batch at once: sliding maxima of the ids' widths give the selector of a word that would start at any
+id, and the words that do are followed from block to block in step.  Decoding goes through all words of one selector at once (a word
+after an escape is an id over 60 bits, so it never looks like an escape itself).  The query codes the byte-level BPE ids of the
+documents; the payload is little-endian words.  No row is shuffled.
 
 Defined results: a null text has a null payload, null offsets and null n_tokens; the empty text has an empty payload and
-no block.  A null id stays null; repeated rows each get a row; an empty table gives an empty result; further columns are
-not read.  Ids are 0 to 2**64-1.
+no block; very long texts have as many blocks as they need.  A null id stays null; repeated rows each get a row; an empty table gives an
+empty result; further columns are not read.  Ids are 0 to 2**64-1: unpack() gives longs and raises an error for ids from 2**63 on,
+unless it is asked for wide ones (decimals).
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkit as tk
-from .bpe import VOCABULARY, codec
+from .bpe import VOCABULARY, codec, vocabulary_of
 from .frames import text_rows
 
 COUNT = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -42,55 +45,83 @@ def blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(counts[doc] - nth * BLOCK, BLOCK), doc
 
 
+_LIMITS = np.array([(1 << int(w)) - 1 for w in WIDTH[1:]], _U)
+_SMALL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=_U), side="left").astype(np.uint8) + 1
+
+
+def widths(ids: np.ndarray) -> np.ndarray:
+    """The first selector wide enough for each id; 16: escape."""
+    large = np.flatnonzero(ids >> _U(16))
+    out = _SMALL[(ids & _U(0xFFFF)).astype(np.int64)]
+    out[large] = np.searchsorted(_LIMITS, ids[large], side="left").astype(np.uint8) + 1
+    return out
+
+
+def selectors(need: np.ndarray) -> np.ndarray:
+    """[block, place]: the selector of a word that starts there, from need [block, place], which has COUNT[1] places of 0 at the end."""
+    size = need.shape[1] - int(COUNT[1])
+    most, width = {1: need}, 1
+    while width * 2 <= COUNT[1]:  # greatest need in the next 2, 4, 8 ... places
+        m = most[width]
+        most[width * 2] = m.copy()
+        np.maximum(m[:, :-width], m[:, width:], out=most[width * 2][:, :-width])
+        width *= 2
+    choice = np.zeros((len(need), size), np.uint8)
+    for s in range(15, 0, -1):
+        n = int(COUNT[s])
+        half = 1 << (n.bit_length() - 1)
+        choice[np.maximum(most[half][:, :size], most[half][:, n - half : n - half + size]) <= s] = s
+    return choice
+
+
 def encode(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words of all blocks in order, words of each block)."""
+    """(words of all blocks in order, words of each block); start and size: the blocks, of BLOCK ids at most."""
     ids = ids.astype(_U, copy=False)
-    n = len(ids)
-    need = np.searchsorted(np.array([(1 << int(w)) - 1 for w in WIDTH[1:]], _U), ids, side="left").astype(np.int8) + 1  # the first selector wide enough; 16: escape
-    used = [s for s in range(1, 16) if s >= (int(need.min()) if n else 16)]
-    bad = {}
-    for s in used:  # where the next id stands that s can't hold
-        far = np.where(need > s, np.arange(n, dtype=np.int32), np.int32(n))
-        bad[s] = np.minimum.accumulate(far[::-1])[::-1]
-    at, end = start.astype(np.int64).copy(), (start + size).astype(np.int64)
-    words = np.zeros(len(start), np.int64)
+    blocks_, room = len(start), BLOCK + int(COUNT[1])
+    words = np.zeros(blocks_, np.int64)
+    if not len(ids) or not blocks_:
+        return np.zeros(0, _U), words
+    row = np.repeat(np.arange(blocks_), size)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    at = np.repeat(start, size) + nth
+    need = np.zeros((blocks_, room), np.uint8)
+    need[row, nth] = widths(ids[at])
+    grid = np.zeros((blocks_, room), _U)
+    grid[row, nth] = ids[at]
+    choice = selectors(need)
     live = np.flatnonzero(size > 0)
-    where, first, picked, block = [], [], [], []
+    p, e = np.zeros(len(live), np.int64), size[live].astype(np.int64)
+    where, place, picked, block = [], [], [], []
     while len(live):
-        p, e = at[live], end[live]
-        choice = np.zeros(len(live), np.int64)
-        for s in used:
-            fits = (choice == 0) & (bad[s][p] - p >= np.minimum(COUNT[s], e - p))
-            if s == 1:  # zeros only in full runs, or at a block's end
-                fits &= (e - p >= COUNT[1]) | (bad[1][p] >= e)
-            choice[fits] = s
-        where.append(words[live].copy())
-        first.append(p)
-        picked.append(choice)
+        s = choice[live, p]
+        where.append(words[live])
+        place.append(p)
+        picked.append(s)
         block.append(live)
-        words[live] += 1 + (choice == 0)
-        at[live] = np.minimum(p + COUNT[choice], e)
-        live = live[at[live] < e]
+        words[live] += 1 + (s == 0)
+        p = p + COUNT[s]
+        more = p < e
+        live, p, e = live[more], p[more], e[more]
     base = np.cumsum(words) - words
     out = np.zeros(int(words.sum()), _U)
-    if not len(where):
-        return out, words
-    block, first, picked = np.concatenate(block), np.concatenate(first), np.concatenate(picked)
-    place = base[block] + np.concatenate(where)
+    block, place, picked = np.concatenate(block), np.concatenate(place), np.concatenate(picked)
+    to = base[block] + np.concatenate(where)
+    order = np.argsort(picked, kind="stable")
+    cuts = np.searchsorted(picked[order], np.arange(17))
+    flat = grid.reshape(-1)
     for s in range(16):
-        sel = np.flatnonzero(picked == s)
+        sel = order[cuts[s] : cuts[s + 1]]
         if not len(sel):
             continue
-        p, e = first[sel], end[block[sel]]
+        first = block[sel] * room + place[sel]
         if s == 0:
-            out[place[sel] + 1] = ids[p]
+            out[to[sel] + 1] = flat[first]
             continue
         value = np.full(len(sel), s << 60, _U)
         if WIDTH[s]:
             for j in range(COUNT[s]):
-                inside = p + j < e
-                value[inside] |= ids[(p + j)[inside]] << _U(j * int(WIDTH[s]))
-        out[place[sel]] = value
+                value |= flat[first + j] << _U(j * int(WIDTH[s]))
+        out[to[sel]] = value
     return out, words
 
 
@@ -99,11 +130,8 @@ def decode(words: np.ndarray, offsets: np.ndarray, size: np.ndarray) -> np.ndarr
     words = words.astype(_U, copy=False)
     n = len(words)
     selector = (words >> _U(60)).astype(np.int64)
-    raw = np.zeros(n, bool)  # words that follow an escape; their top bits say nothing
-    for i in np.flatnonzero(selector == 0).tolist():
-        if not raw[i]:
-            raw[i + 1] = True
-    head = ~raw
+    head = np.ones(n, bool)
+    head[1:] = selector[:-1] != 0  # what follows an escape is an id; its top bits aren't all 0, so no run of escapes is misread
     block = np.searchsorted(offsets, np.arange(n), side="right") - 1
     count = np.where(head, COUNT[selector], 0)
     upto = np.cumsum(count) - count
@@ -128,8 +156,10 @@ def decode(words: np.ndarray, offsets: np.ndarray, size: np.ndarray) -> np.ndarr
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, n_words, payload and block_offsets for every row of docs (doc_id, text)."""
 
+    shared = vocabulary_of(docs, vocabulary)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary)
+        c = codec(shared.value)
         for batch in batches:
             for part in tk.slices(batch, 1):
                 ids, cuts = c.encode(part.column(1))
@@ -151,18 +181,28 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return text_rows(docs).mapInArrow(work, SCHEMA)
 
 
-def unpack(rows: DataFrame) -> DataFrame:
-    """(doc_id, ids) of packed rows, decoded in batches."""
+def unpack(rows: DataFrame, wide: bool = False) -> DataFrame:
+    """(doc_id, ids) of packed rows, all of a batch decoded at once; wide: ids as decimals, which can be over 2**63-1."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = []
-            for n, payload, offsets in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if payload is None:
-                    ids.append(None)
-                    continue
-                _, size, _ = blocks(np.array([n]))
-                ids.append(decode(np.frombuffer(payload, "<u8"), np.array(offsets, np.int64), size).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
-
-    return rows.select("doc_id", "n_tokens", "payload", "block_offsets").mapInArrow(work, "doc_id long, ids array<long>")
+            payload = batch.column(2)
+            null = payload.is_null().to_numpy(zero_copy_only=False)
+            n = np.where(null, 0, batch.column(1).fill_null(0).to_numpy())
+            raw = payload.fill_null(b"") if null.any() else payload
+            off = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset :][: len(raw) + 1].astype(np.int64) if len(raw) else np.zeros(1, np.int64)
+            words = np.frombuffer(bytes(memoryview(raw.buffers()[2])[off[0] : off[-1]]), "<u8") if off[-1] > off[0] else np.zeros(0, _U)
+            _, size, doc = blocks(n)
+            offsets = batch.column(3).flatten().to_numpy().astype(np.int64) + (off[doc] - off[0]) // 8
+            ids = decode(words, offsets, size)
+            if wide:
+                values = pa.array(ids).cast(pa.decimal128(20, 0))
+            elif len(ids) and int(ids.max()) >> 63:
+                raise ValueError("an id of 2**63 or more needs unpack(wide=True)")
+            else:
+                values = pa.array(ids.astype(np.int64))
+            place = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(place, mask=np.append(null, False)) if null.any() else pa.array(place), values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
+
+    return rows.select("doc_id", "n_tokens", "payload", "block_offsets").mapInArrow(work, f"doc_id long, ids array<{'decimal(20,0)' if wide else 'long'}>")
