@@ -49,7 +49,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(secrets.document_versions(table(spark, sf_dir, "documents")))[0]
+    return secrets.scan_history(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_imatch, op3_ngram_join, op4_simple8b, op5_repetition, op6_byte_bpe, op7_packing, op8_toxicity, op9_language_id, op10_secret_scan)}
