@@ -7,10 +7,10 @@ are near copies.
 
 The upper end of the band is a share of the documents, so the lexicon has at most (mean distinct terms a document) *
 exp(idf_max) terms however large the corpus is; its size is counted before it is broadcast, and beyond broadcast_terms
-the terms are joined by a shuffle instead.  Texts are read twice and never shuffled.
+the terms are joined by a shuffle instead; both ways cut the same terms.  Texts are read twice and never shuffled.
 
 Defined results: null and empty texts, and texts without a lexicon term, have n_terms 0 and null fingerprints (so they
-match nothing); they count among the N documents.  A null id stays null; repeated rows each get a row (and count in df);
+match nothing); they count among the N documents.  Very long texts are fingerprinted whole; terms have no ties, as they are distinct.  A null id stays null; repeated rows each get a row (and count in df);
 an empty table gives an empty result; further columns are not read.
 """
 
@@ -123,17 +123,29 @@ def _hashes(terms: list[bytes]) -> np.ndarray:
     return tk.spans(tk.prefix(cps), bounds[:-1], bounds[1:])
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, term) for the distinct terms of rows (key, text)."""
+    _, lower, _ = tk.tables()
+    for batch in batches:
+        for part in tk.slices(batch, 1):
+            cps, bounds = tk.codepoints(part.column(1))
+            h, start, end, doc = tk.words(cps, bounds)
+            order = np.lexsort((h, doc))
+            head = order[np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])]))] if len(h) else order
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[head])), tk.strings(lower[cps], start[head], end[head])], ["key", "term"])
+
+
 def _by_join(docs: DataFrame, lex: DataFrame, subsets: int) -> DataFrame:
-    rows = text_rows(docs).withColumn("row", F.monotonically_increasing_id())
-    terms = rows.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
-    met = terms.join(lex, "term").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("term", "member"))).alias("x"))
+    rows = text_rows(docs).withColumn("key", F.xxhash64("doc_id", "text"))  # rows that repeat an id and a text have the same result
+    met = rows.select("key", "text").mapInArrow(_terms, "key long, term string").join(lex, "term").groupBy("key", "term").agg(F.first("member").alias("member"))
+    met = met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "member"))).alias("x"))
 
     def of(k: int) -> Column:
         kept = F.transform(F.filter("x", lambda e: F.element_at(e["member"], k + 1)), lambda e: e["term"])
         return F.when(F.size(kept) > 0, F.md5(F.array_join(kept, " ")))
 
     fps = [of(k).alias(name) for k, name in enumerate(names(subsets))]
-    return rows.select("row", "doc_id").join(met.select("row", F.size("x").cast("long").alias("n"), *fps), "row", "left").select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_terms"), *names(subsets))
+    return rows.select("key", "doc_id").join(met.select("key", F.size("x").cast("long").alias("n"), *fps), "key", "left").select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_terms"), *names(subsets))
 
 
 def fingerprint(docs: DataFrame, idf_min: float = IDF_MIN, idf_max: float = IDF_MAX, subsets: int = SUBSETS, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
