@@ -1,7 +1,8 @@
 """Operator 9, language identification: prediction by partial matching.
 
 For each language a byte context tree of orders 0 to 3 is counted on a bounded, documented sample of labelled rows
-(max_docs a language, chosen by a hash of the id) and then frozen.  A byte b after a context c costs -log2 of n(b)/(T+q)
+(max_docs a language, chosen by a hash of the id) and then frozen.  The executors count; the driver gets the distinct runs of four bytes,
+which hold the shorter ones' counts too.  A byte b after a context c costs -log2 of n(b)/(T+q)
 where c has seen it (T: bytes counted in c, q: different ones), else -log2 of the escape probability q/(T+q) plus the
 cost in the context one byte shorter; a context that the tree lacks is passed over for free, and below order 0 each byte
 costs 8 bits.  (Escape method C, without exclusion.)  A text's code length is the sum over all its bytes; the language
@@ -11,7 +12,8 @@ The frozen statistics make that cost a function of the last four bytes, so it is
 context seen in any language, and for each order-2 context for the rest) and texts are scored by table look-up: whole
 texts, exact lengths, no shuffle.
 
-Defined results: the first bytes of a text have line feeds as context.  Null and empty texts have no language (null),
+Defined results: the first bytes of a text have line feeds as context, and a very long text is coded whole.  Of a labelled id with several texts
+the least is learnt from.  Null and empty texts have no language (null),
 lengths 0 and margin 0; ties go to the language that sorts first.  A null id stays null; repeated rows each get a row;
 rows with a null language are scored but not learnt from; with no labelled row the language is null everywhere; an empty
 table gives an empty result; further columns are not read.
@@ -44,27 +46,33 @@ def padded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, at
 
 
+def count(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs of ORDER + 1 bytes as numbers, times) over the texts."""
+    raw, at = padded(data, bounds)
+    code = np.zeros(len(at), np.int64)
+    for back in range(ORDER, -1, -1):
+        code = code << 8 | raw[at - back]
+    return np.unique(code, return_counts=True)
+
+
+def count_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return count(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+
+
 class Model:
-    """Cost tables of all languages."""
+    """Cost tables of all languages, from the counts of each."""
 
-    def __init__(self, samples: dict[str, list[bytes]]):
-        self.langs = sorted(samples)
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.langs = sorted(counts)
         seen = np.zeros(256, bool)
         seen[10] = True
-        arrays = {}
-        for lang in self.langs:
-            texts = [t for t in samples[lang] if t]
-            bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            arrays[lang] = padded(np.frombuffer(b"".join(texts), np.uint8), bounds)
-            seen[arrays[lang][0]] = True
+        for code, _ in counts.values():
+            for k in range(ORDER + 1):
+                seen[np.unique(code >> 8 * k & 255)] = True
         self.symbol = np.zeros(256, np.int64)  # 0: a byte that no sample has
         self.symbol[seen] = np.arange(1, seen.sum() + 1)
         a = self.a = int(seen.sum()) + 1
-        count = {}
-        for lang in self.langs:
-            data, at = arrays[lang]
-            s = self.symbol[data]
-            count[lang] = [self._grams(s, at, k) for k in range(ORDER + 1)]
+        count = {lang: [self._grams(*counts[lang], k) for k in range(ORDER + 1)] for lang in self.langs}
         ctx3 = np.unique(np.concatenate([np.unique(count[x][3][0] // a) for x in self.langs])) if self.langs else np.zeros(0, np.int64)
         self.row = (np.arange(a**3) % (a * a) + len(ctx3)).astype(np.int32)
         self.row[ctx3] = np.arange(len(ctx3), dtype=np.int32)
@@ -77,11 +85,13 @@ class Model:
             top = self._refine(cost[ctx3 % (a * a)], count[lang][3], ctx3)
             self.table[: len(ctx3) * a, j] = top.reshape(-1)
 
-    def _grams(self, s: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        code = np.zeros(len(at), np.int64)
+    def _grams(self, code: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(runs of k + 1 symbols, times)."""
+        out = np.zeros(len(code), np.int64)
         for back in range(k, -1, -1):
-            code = code * self.a + s[at - back]
-        return np.unique(code, return_counts=True)
+            out = out * self.a + self.symbol[code >> 8 * back & 255]
+        runs, inv = np.unique(out, return_inverse=True)
+        return runs, np.bincount(inv, weights=n, minlength=len(runs)).astype(np.int64)
 
     def _refine(self, lower: np.ndarray, grams: tuple[np.ndarray, np.ndarray], ctx: np.ndarray) -> np.ndarray:
         """Costs by context (rows, in the order of ctx) from those one order below."""
@@ -112,16 +122,23 @@ class Model:
         return out
 
 
-def sample(docs: DataFrame, lang_col: str, max_docs: int) -> dict[str, list[bytes]]:
-    """At most max_docs labelled texts a language, those whose ids hash lowest."""
-    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang")).where("doc_id IS NOT NULL AND lang IS NOT NULL")
+def sample(docs: DataFrame, lang_col: str, max_docs: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The counts of at most max_docs labelled texts a language, those whose ids hash lowest."""
+    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang")).where("doc_id IS NOT NULL AND lang IS NOT NULL").distinct()
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    pick = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_docs).select("doc_id", F.col("lang").alias("picked")).distinct()
-    rows = text_rows(docs).where("text IS NOT NULL").join(F.broadcast(pick), "doc_id").select("picked", "text").toArrow()  # at most max_docs a language
-    out: dict[str, list[bytes]] = {}
-    for lang, text in zip(rows["picked"].to_pylist(), rows["text"].to_pylist(), strict=True):
-        out.setdefault(lang, []).append(text.encode("utf-8", "replace"))
-    return out
+    pick = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_docs).select("doc_id", F.col("lang").alias("picked"))
+    rows = text_rows(docs).where("text IS NOT NULL").join(F.broadcast(pick), "doc_id").groupBy("picked", "doc_id").agg(F.min("text").alias("text"))  # pick has at most max_docs rows a language
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = np.array(batch.column(0).to_pylist(), dtype=object)
+            for each in sorted(set(lang)):
+                code, n = count(*tk.utf8(batch.column(1).filter(pa.array(lang == each))))
+                yield pa.RecordBatch.from_arrays([pa.array([each] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "code", "n"])
+
+    found = rows.select("picked", "text").mapInArrow(work, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    lang, code, n = np.array(found["lang"].to_pylist(), dtype=object), found["code"].to_numpy(), found["n"].to_numpy()
+    return {x: (code[lang == x], n[lang == x]) for x in sorted(set(lang))}
 
 
 def identify(docs: DataFrame, lang_col: str = "lang", max_docs: int = MAX_DOCS, model: Model | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ Occurrences may overlap.  Documents in which no run of min_units units occurs tw
 hashes show; only the others reach the suffix array.  A document is worked on in one task and no row is shuffled.
 
 Defined results: null and empty texts, and texts without a unit, have no repeat (0.0 covered, longest 0, tandem 0.0) and are kept;
+very long texts are analysed whole; a document at a limit is kept;
 a null id stays null; repeated rows and ties each get their own row; an empty table gives an empty result; further
 columns of the input, whatever their names, are not read by score() and are returned untouched by keep().
 """
