@@ -33,21 +33,101 @@ def pairs(docs: dict[int, str], n: int, threshold: float) -> dict[tuple[int, int
     return out
 
 
-def cosines(docs: dict[int, str]) -> dict[int, list[tuple[float, int]]]:
-    """(-cosine, document) of every other document that shares a word, by TF-IDF over all words."""
-    tf = {i: Counter(words(t)) for i, t in docs.items()}
-    df = Counter(w for c in tf.values() for w in c)
-    vecs = {i: {w: n * (math.log((1 + len(docs)) / (1 + df[w])) + 1) for w, n in c.items()} for i, c in tf.items()}
-    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vecs.items()}
-    out: dict[int, list] = {i: [] for i in docs}
-    for a, b in combinations(sorted(docs), 2):
-        if vecs[a].keys() & vecs[b].keys():
-            c = round(sum(x * vecs[b].get(w, 0.0) for w, x in vecs[a].items()) / norm[a] / norm[b], 6)
-            out[a].append((-c, b))
-            out[b].append((-c, a))
+def nearest(points: np.ndarray, nodes: np.ndarray, k: int) -> dict[int, list[tuple[float, int]]]:
+    """(cosine of 6 places, node) of the k nearest of each point, ties by lower node: compares all with all."""
+    out = {}
+    for i, v in enumerate(nodes.tolist()):
+        cos = [(-round(float(c), 6), int(w)) for c, w in zip(points @ points[i], nodes, strict=True) if w != v]
+        out[v] = [(-c, w) for c, w in sorted(cos)[:k]]
+    return out
+
+
+def walk(near: dict[int, list[int]], sims: dict[tuple[int, int], float]) -> list[list[int]]:
+    """Greedy paths over an undirected graph, each step a search of everything that is left."""
+    degree = {v: len(n) for v, n in near.items()}
+    left, paths = set(near), []
+    while left:
+        v = min(left, key=lambda x: (degree[x], x))
+        path = []
+        while v is not None:
+            left.discard(v)
+            path.append(v)
+            free = [u for u in near[v] if u in left]
+            v = min(free, key=lambda u: (-sims[min(path[-1], u), max(path[-1], u)], degree[u], u)) if free else None
+        paths.append(path)
+    return paths
+
+
+def windows(sizes: list[tuple[int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """(window, document, from, to), word by word, of documents (id, words) in order; one without a word has an empty piece."""
+    out: list[list[int]] = []
+    at = 0
+    for doc, n in sizes:
+        for word in range(n):
+            w = at // window
+            if out and out[-1][:2] == [w, doc] and out[-1][3] == word and word:
+                out[-1][3] += 1
+            else:
+                out.append([w, doc, word, word + 1])
+            at += 1
+        if not n:
+            out.append([at // window, doc, 0, 0])
+    return [tuple(x) for x in out]
+
+
+def simple8b(ids: list[int], block: int = 128) -> list[int]:
+    """Words of a document's ids: for each word the selector with the most ids that fits, tried one after the other."""
+    count, width = [120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
+    out = []
+    for b in range(0, len(ids), block):
+        part, at = ids[b : b + block], 0
+        while at < len(part):
+            for s in range(15):
+                some = part[at : at + count[s]]
+                if all(x < 1 << width[s] for x in some) and (len(some) == count[s] or s > 0 or at + len(some) == len(part)):
+                    out.append((s + 1) << 60 | sum(x << (j * width[s]) for j, x in enumerate(some)))
+                    at += len(some)
+                    break
+            else:
+                out += [0, part[at]]
+                at += 1
     return out
 
 
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """A piece's tokens: the pair of least rank, the first of equals, becomes one until there is none."""
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)) if a + b in ranks), default=None)
+        if best is None:
+            return [ranks[p] for p in parts]
+        i = best[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def tokens(text: str, ranks: dict[bytes, int]) -> list[int]:
+    return [t for p in PIECE.findall(text) for t in merge(p.encode(), ranks)]
+
+
+def classes(docs: dict[int, str], n: int, threshold: float) -> dict[int, tuple[int, int, int]]:
+    """(class, copies, links to other sets) of each document, from all pairs of sets."""
+    sets = {i: grams(t, n) for i, t in docs.items()}
+    members: dict = {}
+    for i in sorted(docs):
+        if sets[i]:
+            members.setdefault(sets[i], []).append(i)
+    reps = {m[0]: s for s, m in members.items()}
+    linked = pairs({i: docs[i] for i in reps}, n, threshold)
+    group = groups(list(linked))
+    count = Counter(x for p in linked for x in p)
+    return {i: (i, 0, 0) if not sets[i] else (group.get(r := members[sets[i]][0], r), len(members[sets[i]]) - 1, count[r]) for i in docs}
+
+
 def groups(edges: list[tuple[int, int]]) -> dict[int, int]:
     """Least id of each one's group."""
     to: dict[int, int] = {}
