@@ -8,6 +8,8 @@ from typing import Any, Literal
 import yaml
 from pydantic import BaseModel, ConfigDict, Field, field_validator
 
+from . import models
+
 EXTENSIONS = ("md", "txt", "html", "htm", "docx", "pdf", "doc")
 
 
@@ -44,6 +46,12 @@ class EmbeddingsConfig(Strict):
     chunk_sizes: list[int] = [1024]
     encoder: str = "lexical"
 
+    @field_validator("encoder")
+    @classmethod
+    def _encoder(cls, value: str) -> str:
+        models.named(models.ENCODERS, value)
+        return value
+
     @property
     def labels(self) -> list[str]:
         return [s.label for s in self.document_settings if s.label]
@@ -67,11 +75,30 @@ class SemanticSearchConfig(Strict):
     multiquery: bool = False
     n_versions: int = 3
     rerank: bool = True
+    reranker: str = "lexical"
     max_history_length: int = Field(default=2, ge=0)
 
+    @field_validator("reranker")
+    @classmethod
+    def _reranker(cls, value: str) -> str:
+        models.named(models.RERANKERS, value)
+        return value
+
+
+class GeneratorConfig(Strict):
+    type: str = "echo"
+    params: dict[str, Any] = {}
+
+    @field_validator("type")
+    @classmethod
+    def _known(cls, value: str) -> str:
+        models.named(models.GENERATORS, value)
+        return value
+
 
 class Config(BaseModel):
     embeddings: EmbeddingsConfig
+    llm: GeneratorConfig = GeneratorConfig()
     semantic_search: SemanticSearchConfig = SemanticSearchConfig()
     prompt_template: str = "Context information is provided below. Given only the context, answer the question.\n\n### Context:\n{context}\n\n### Question: {question}\n"
     persist_response_path: Path | None = None

@@ -57,11 +57,37 @@ def hashing_encoder(dimensions: int = 64) -> Encoder:
 lexical_reranker: Reranker = overlap_score
 
 
+def scored_by(model: Callable[[pd.Series, pd.Series], Iterable[float]], longest: int = 512) -> Reranker:
+    """A cross-encoder as a re-ranker: model scores (questions, texts) in batches, which go to Python workers by Arrow; it sees a text's first longest words, as such models do."""
+
+    def rerank(question: Column, text: Column) -> Column:
+        @F.pandas_udf("double")
+        def run(q: pd.Series, t: pd.Series) -> pd.Series:
+            return pd.Series(list(model(q.fillna(""), t.fillna("").str.split().str[:longest].str.join(" "))), dtype=float)
+
+        return run(question, text)
+
+    return rerank
+
+
 def echo_generator(prompt: str) -> str:
     """The offline generator: the end of the prompt."""
     return prompt[-200:].strip()
 
 
+#: What a configuration can name; a deployment registers its own (sentence encoders, cross-encoders, generators of a service).
+ENCODERS: dict[str, Callable[[], Encoder]] = {"lexical": hashing_encoder, "hashing": hashing_encoder}
+RERANKERS: dict[str, Callable[[], Reranker]] = {"lexical": lambda: lexical_reranker}
+GENERATORS: dict[str, Callable[..., Generator]] = {"echo": lambda **_: echo_generator}
+
+
+def named(registry: dict[str, Callable], name: str) -> Callable:
+    """What is registered under the name; an unknown one is an error that lists the known ones."""
+    if name not in registry:
+        raise ValueError(f"unknown: {name!r}; known: {sorted(registry)}")
+    return registry[name]
+
+
 class Cached:
     """A generator that keeps its answers."""
 

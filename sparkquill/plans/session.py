@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..functions import splitting as S
 from ..operators import chunking, conversation, maintenance, retrieval
 from ..sources import files as files_
+from ..sources.scratch import once
 from ..sources.store import Store
 from . import models
 from .config import Config, DocumentSettings
@@ -19,12 +20,15 @@ TABLES = ("chunks", "postings", "norms", "file_hashes")
 
 
 class SearchSession:
-    def __init__(self, spark: SparkSession, config: Config, encoder: models.Encoder | None = None, reranker: models.Reranker | None = models.lexical_reranker, generator: models.Generator = models.echo_generator):
+    def __init__(self, spark: SparkSession, config: Config, encoder: models.Encoder | None = None, reranker: models.Reranker | None = None, generator: models.Generator | None = None):
+        """Encoder, re-ranker and generator are those that the configuration names, unless they are given."""
         self.spark, self.config = spark, config
-        self.encoder, self.reranker, self.generator = encoder or models.hashing_encoder(), reranker, models.Cached(generator)
+        self.encoder = encoder or models.named(models.ENCODERS, config.embeddings.encoder)()
+        self.reranker = reranker or models.named(models.RERANKERS, config.semantic_search.reranker)()
+        self.generator = models.Cached(generator or models.named(models.GENERATORS, config.llm.type)(**config.llm.params))
         self.store = Store(spark, str(config.embeddings.embeddings_path))
 
-    # --- index ---
+    # index
 
     def _files(self, settings: DocumentSettings) -> DataFrame:
         found = files_.scan(self.spark, str(settings.doc_path), tuple(settings.scan_extensions))
@@ -49,14 +53,28 @@ class SearchSession:
             kind = F.lower(F.element_at(F.split("filename", r"\."), -1))
             marked = found.where(kind == "md").select("filename", F.decode("content", "UTF-8").alias("text"))
             options = settings.additional_parser_settings.get("md", {})
-            parts = [chunking.markdown(marked, sizes, options), chunking.pack_docx(files_.elements(found.where(kind == "docx")), sizes)]
-            rest = files_.elements(found.where(~kind.isin("md", "docx"))).withColumnRenamed("level", "page").withColumn("page", F.lit(None).cast("int"))
+            parts = [chunking.markdown(marked, sizes, options), chunking.pack_docx(files_.readable(files_.elements(found.where(kind == "docx"))), sizes)]
+            parts.append(chunking.pack_pages(files_.readable(files_.elements(found.where(kind == "pdf"))).withColumnRenamed("level", "page"), sizes))
+            rest = files_.readable(files_.elements(found.where(~kind.isin("md", "docx", "pdf")))).withColumnRenamed("level", "page").withColumn("page", F.lit(None).cast("int"))
             parts.append(chunking.pack_elements(rest, sizes))
             for part in parts:
                 made = chunking.as_chunks(part, settings.label, settings.passage_prefix)
                 out = made if out is None else out.unionByName(made)
         return out
 
+    def unreadable(self) -> DataFrame:
+        """(filename, reason) of the configuration's files that have no chunks because they can't be read."""
+        out = None
+        for settings in self.config.embeddings.document_settings:
+            found = self._files(settings)
+            part = files_.unreadable(files_.elements(found.where(F.lower(F.element_at(F.split("filename", r"\."), -1)) != "md")))
+            out = part if out is None else out.union(part)
+        return out
+
+    def by_ids(self, ids: list[str]) -> DataFrame:
+        """The chunks of the ids; missing ids are absent."""
+        return retrieval.by_ids(self.store.read("chunks"), ids)
+
     def _index(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         chunks = chunks.withColumn("embedding", models.encode(F.col("text"), self.encoder))
         posted = retrieval.postings(chunks, keep=("chunk_size", "label", "source"))
@@ -81,7 +99,8 @@ class SearchSession:
                 return counts
             gone = maintenance.changed(difference).union(maintenance.deleted(difference))
             chunks = self.store.read("chunks")
-            fresh = self._index(self.chunks(maintenance.changed_or_new(difference)))[0].join(maintenance.changed_or_new(difference), "filename")
+            # parsed and encoded once, for three tables
+            fresh = once(self._index(self.chunks(maintenance.changed_or_new(difference)))[0].join(maintenance.changed_or_new(difference), "filename"))
             dropped = maintenance.chunks_of(chunks, gone).select("chunk_id")
             posted = maintenance.without(self.store.read("postings"), dropped, "chunk_id").unionByName(retrieval.postings(fresh, keep=("chunk_size", "label", "source")))
             lengths = maintenance.without(self.store.read("norms"), dropped, "chunk_id").unionByName(retrieval.norms(retrieval.postings(fresh)))
@@ -97,7 +116,7 @@ class SearchSession:
     def labels(self) -> list[str]:
         return sorted(r["label"] for r in maintenance.labels(self.store.read("chunks")).collect())
 
-    # --- search ---
+    # search
 
     def candidates(self, queries: DataFrame, label: str = "", chunk_kind: str = "") -> DataFrame:
         """Distinct (query_id, chunk_size, chunk_id) of both searches over queries (query_id, query), several of which may share an id."""
@@ -137,8 +156,9 @@ class SearchSession:
         return kept.join(chosen, ["query_id", "chunk_id"]).withColumn("link", link)
 
     def answer(self, question: str, label: str = "", chunk_kind: str = "", history: DataFrame | None = None) -> dict:
-        """The answer to one question with its sources; history: (session_id, turn, question, answer) of this session."""
+        """The answer to one question with its sources; a label that the index lacks is an error; history: (session_id, turn, question, answer) of this session."""
         s = self.config.semantic_search
+        retrieval.check_label(label, self.labels())
         told = ""
         if history is not None and s.max_history_length:
             last = conversation.last_turns(history, s.max_history_length)

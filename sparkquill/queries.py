@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import splitting as S
 from .operators import chunking, conversation, layout, maintenance, retrieval
 from .sources import files as files_
+from .sources.scratch import once
 from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,9 +188,9 @@ def xml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.row_xml({c: F.col(c) for c in ("l_partkey", "l_returnflag", "l_linestatus")}).alias("xml"))
 
 
-@query("SELECT doc_id, trim(replace(replace(':selected: ' || left(text, 50) || ' :unselected:', ':unselected:', ''), ':selected:', '')) AS content FROM documents")
+@query("SELECT doc_id, trim(replace(replace(':selected: ' || text || ' :unselected:', ':unselected:', ''), ':selected:', '')) AS content FROM documents")
 def clean_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", C.without_selection_marks(F.concat(F.lit(":selected: "), F.left("text", F.lit(50)), F.lit(" :unselected:"))).alias("content"))
+    return t(spark, sf_dir, "documents").select("doc_id", C.without_selection_marks(F.concat(F.lit(":selected: "), "text", F.lit(" :unselected:"))).alias("content"))
 
 
 @query("SELECT page_id, replace(url_encode(url), '%2F', '/') AS quoted FROM pages")
@@ -212,9 +214,9 @@ def partial_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", C.with_suffix(F.col("source"), "#page={page}&x={unknown}", {"page": F.when(F.col("quality") == 1, F.lit("1"))}).alias("link"))
 
 
-@query("SELECT item_id, replace(replace('C: {context}' || chr(10) || 'Q: {question}', '{context}', left(text, 40)), '{question}', text) AS prompt FROM benchmark")
+@query("SELECT item_id, replace(replace('C: {context}' || chr(10) || 'Q: {question}', '{context}', text), '{question}', item_id::VARCHAR) AS prompt FROM benchmark")
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "benchmark").select("item_id", C.prompt("C: {context}\nQ: {question}", F.left("text", F.lit(40)), F.col("text")).alias("prompt"))
+    return t(spark, sf_dir, "benchmark").select("item_id", C.prompt("C: {context}\nQ: {question}", F.col("text"), F.col("item_id").cast("string")).alias("prompt"))
 
 
 @query(
@@ -264,6 +266,27 @@ def element_packer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pack_elements(page_elements(spark, sf_dir).withColumn("page", F.col("ordinal").cast("int")), [1024])
 
 
+@query(
+    """
+WITH RECURSIVE x AS (SELECT conv_id::VARCHAR AS filename, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k, turn AS page, chr(10) || text AS text, length(text) + 1 AS n FROM conversations),
+s(filename, k, part, slices, next, held) AS (SELECT filename, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM (SELECT DISTINCT filename FROM x)
+  UNION ALL SELECT x.filename, x.k,
+    CASE WHEN n >= 127 OR held + n >= 128 THEN next + (held > 0)::BIGINT ELSE next END,
+    CASE WHEN n >= 127 THEN (n + 127) // 128 ELSE 0 END,
+    CASE WHEN n >= 127 THEN next + (held > 0)::BIGINT + (n + 127) // 128 WHEN held + n >= 128 THEN next + (held > 0)::BIGINT ELSE next END,
+    CASE WHEN n >= 127 THEN 0 WHEN held + n >= 128 THEN n ELSE held + n END
+  FROM s JOIN x ON x.filename = s.filename AND x.k = s.k + 1),
+p AS (SELECT filename, part, string_agg(text, '' ORDER BY k) AS chunk, min(page) AS page FROM s JOIN x USING (filename, k) WHERE slices = 0 GROUP BY filename, part
+  UNION ALL SELECT filename, part + i, chr(10) || substr(text, i * 128 + 1, 128), page FROM (SELECT *, unnest(range(0, slices)) AS i FROM s JOIN x USING (filename, k) WHERE slices > 0))
+SELECT filename, 128 AS chunk_size, part::INTEGER AS ordinal, chunk, '' AS heading, page::INTEGER AS page FROM p
+"""
+)
+def turn_packer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as elements, packed into chunks below 128 characters."""
+    turns = t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("filename"), F.col("turn").cast("int").alias("ordinal"), "text", F.col("turn").cast("int").alias("page"))
+    return chunking.pack_elements(turns, [128])
+
+
 @query()
 def page_packer(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("filename"), F.col("turn").cast("int").alias("ordinal"), "text", F.col("turn").cast("int").alias("page"))
@@ -277,10 +300,20 @@ def docx_packer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pack_docx(blocks, [512])
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE x AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, xml) AS k, l_linenumber, xml, 'Table below contains information about: Order ' || l_orderkey || chr(10) || '```xml table:' || chr(10) AS top
+  FROM (SELECT l_orderkey, l_linenumber, """
+    + _xml("l_partkey", "l_quantity", "l_returnflag")
+    + """ AS xml FROM lineitem)),
+s(l_orderkey, k, part, held) AS (SELECT l_orderkey, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM (SELECT DISTINCT l_orderkey FROM x)
+  UNION ALL SELECT x.l_orderkey, x.k, CASE WHEN length(top) + held + length(xml) >= 400 AND held > 0 THEN part + 1 ELSE part END, CASE WHEN length(top) + held + length(xml) >= 400 THEN length(xml) + 1 ELSE held + length(xml) + 1 END FROM s JOIN x ON x.l_orderkey = s.l_orderkey AND x.k = s.k + 1)
+SELECT l_orderkey AS table_id, min(min(l_linenumber)) OVER (PARTITION BY l_orderkey)::INTEGER AS page, part::INTEGER AS ordinal, any_value(top) || string_agg(xml || chr(10), '' ORDER BY k) || '```' AS chunk FROM s JOIN x USING (l_orderkey, k) GROUP BY l_orderkey, part
+"""
+)
 def table_splitter(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = C.row_xml({c: F.col(c) for c in ("l_partkey", "l_quantity", "l_returnflag")})
-    tables = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("table_id")).agg(F.min("l_linenumber").alias("page"), F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", xml.alias("xml")))), lambda x: x["xml"]).alias("rows"))
+    tables = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("table_id")).agg(F.min("l_linenumber").cast("int").alias("page"), F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", xml.alias("xml")))), lambda x: x["xml"]).alias("rows"))
     return chunking.split_tables(tables.withColumn("caption", F.concat(F.lit("Order "), "table_id")), 400)
 
 
@@ -362,8 +395,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sparse(spark: SparkSession, sf_dir: str, widths: tuple[int, ...] = (1024,), label: str = "", k: int = 15) -> DataFrame:
     chunks = retrieval.filtered(chunk_table(spark, sf_dir, widths), label=label)
-    posted = retrieval.postings(chunks, keep=("chunk_size",))
-    return retrieval.sparse_top(posted, retrieval.norms(posted), questions(spark, sf_dir), k, ("chunk_size",))
+    posted = retrieval.with_norm(retrieval.postings(chunks, keep=("chunk_size",)))
+    return retrieval.sparse_top(posted, None, questions(spark, sf_dir), k, ("chunk_size",))
 
 
 def chunks_cte(widths: tuple[int, ...] = (1024,)) -> str:
@@ -459,16 +492,16 @@ pk AS (SELECT query_id, chunk_id, text, (row_number() OVER (PARTITION BY query_i
 
 
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top, texts = sparse(spark, sf_dir, WIDTHS), chunk_table(spark, sf_dir, WIDTHS)
+    top, texts = once(sparse(spark, sf_dir, WIDTHS)), chunk_table(spark, sf_dir, WIDTHS)
     got = top.select("query_id", "chunk_size", "chunk_id").join(texts.drop("chunk_size"), "chunk_id").join(F.broadcast(questions(spark, sf_dir)), "query_id")  # k rows a question and size
-    return got.withColumn("score", retrieval.overlap_score(F.col("question"), F.col("text"))).withColumn("n_chars", F.length("text"))
+    return once(got.withColumn("score", retrieval.overlap_score(F.col("question"), F.col("text"))).withColumn("n_chars", F.length("text")))  # read several times below
 
 
 def packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     r = reranked(spark, sf_dir)
     w = retrieval.best_chunk_size(retrieval.top_mean(r, ("query_id", "chunk_size")), list(WIDTHS))
     chosen = retrieval.above_cutoff(r.join(w, ["query_id", "chunk_size"]), 0.1)
-    return retrieval.within_budget(chosen, 4096), chosen
+    return once(retrieval.within_budget(chosen, 4096)), chosen
 
 
 @query(f"WITH {sparse_cte(WIDTHS)}, {RERANK}, {MEANS} SELECT * FROM a")
@@ -498,7 +531,11 @@ def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.context(kept.join(chosen.select("query_id", "chunk_id", "text"), ["query_id", "chunk_id"]).select("query_id", "place", F.concat_ws("|", "query_id", "chunk_id").alias("chunk_id")), chosen.select(F.concat_ws("|", "query_id", "chunk_id").alias("chunk_id"), "text"))
 
 
-@query()
+@query(
+    f"WITH {dense_cte()}, {dense_cte('cosine').replace('v AS (', 'v2 AS (').replace('dn AS', 'dc AS')}, "
+    "r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM dn UNION ALL SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) FROM dc) "
+    "SELECT query_id, vec_id AS chunk_id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM r GROUP BY query_id, vec_id"
+)
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q = vectors(spark, sf_dir)
     return retrieval.reciprocal_rank_fusion(*(retrieval.dense_top(v, q, 15, m).withColumnRenamed("vec_id", "chunk_id") for m in ("l2", "cosine")))
@@ -511,6 +548,57 @@ def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.mmr(top, 5)
 
 
+@query(f"WITH {chunks_cte(WIDTHS)} SELECT chunk_id, text FROM c WHERE chunk_size = 512 AND label = 'fr'")
+def chunks_of_size_and_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.filtered(chunk_table(spark, sf_dir, WIDTHS), 512, "fr").select("chunk_id", "text")
+
+
+@query("SELECT event_id, coalesce(nullif(event_type, 'view'), 'text') AS source_chunk_type FROM events WHERE coalesce(nullif(event_type, 'view'), 'text') = 'text'")
+def chunk_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = t(spark, sf_dir, "events").withColumn("source_chunk_type", C.chunk_kind(F.when(F.col("event_type") != "view", F.col("event_type"))))
+    return retrieval.filtered(kinds, chunk_kind="text").select("event_id", "source_chunk_type")
+
+
+@query("SELECT item_id, 'query: ' || text AS question FROM benchmark")
+def query_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "benchmark").select("item_id", C.prefixed(F.col("text"), "query: ").alias("question"))
+
+
+@query(f"WITH {chunks_cte()} SELECT chunk_id, label, text FROM c WHERE chunk_id IN ('1024-0-0', '1024-7-0', '1024-7-1', '1024-199-0')")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.by_ids(chunk_table(spark, sf_dir), ["1024-0-0", "1024-7-0", "1024-7-1", "1024-199-0", "1024-0-0", "not there"]).select("chunk_id", "label", "text")
+
+
+@query(f"WITH {sparse_cte()} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id DESC)::INTEGER - 1 AS display FROM sp")
+def display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = sparse(spark, sf_dir)
+    ranked = retrieval.best(top, ("query_id",), 15).withColumn("place", F.col("rank") - 1)
+    return retrieval.for_display(ranked).select("query_id", "chunk_id", "display")
+
+
+@query("SELECT s_nationkey AS page, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)::INTEGER - 1 AS place, s_acctbal AS x0, s_suppkey::DOUBLE AS y0 FROM supplier")
+def boxes_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = F.struct(F.col("s_acctbal").alias("x0"), F.col("s_suppkey").cast("double").alias("y0"), (F.col("s_acctbal") + 1).alias("x1"), (F.col("s_suppkey") + 1.0).alias("y1"))
+    by = layout.boxes_by_page(t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("page"), box.alias("box")))
+    return by.select("page", F.posexplode("boxes").alias("place", "b")).select("page", "place", "b.x0", "b.y0")
+
+
+@query(
+    "WITH c AS (SELECT l_orderkey AS table_id, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey)::INTEGER AS row_index, l_returnflag AS column_index, l_partkey::VARCHAR AS content FROM lineitem) "
+    "SELECT a.table_id, a.row_index, a.column_index, b.content AS name, a.content FROM c a JOIN c b ON a.table_id = b.table_id AND a.column_index = b.column_index AND b.row_index = 1 WHERE a.row_index > 1"
+)
+def header_from_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nth = F.row_number().over(W.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "l_partkey"))
+    cells = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), nth.alias("row_index"), F.col("l_returnflag").alias("column_index"), F.col("l_partkey").cast("string").alias("content"))
+    return layout.first_row_as_header(cells)
+
+
+@query("SELECT p_partkey, p_size AS width, p_retailprice AS height FROM part WHERE p_size >= 20 AND p_retailprice >= 950")
+def image_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = t(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("width"), F.col("p_retailprice").alias("height"))
+    return layout.large_enough(images, 20, 950)
+
+
 # conversations and answers
 
 PAIRS = "pr AS (SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant')"
@@ -551,5 +639,4 @@ def feedback_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return ingest.windowed_counts(t(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

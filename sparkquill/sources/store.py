@@ -1,4 +1,4 @@
-"""Parquet tables in versions: a write goes to a new folder and is named current afterwards, so readers of the old one go on."""
+"""Parquet tables in versions: a write goes to a new folder and is named current afterwards; the version before it stays until the next write, so its readers go on."""
 
 from __future__ import annotations
 
@@ -37,16 +37,24 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
     def write(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        """Replace the table; df may read the version it replaces, which goes when the new one is named."""
+        """Replace the table; df may read the version it replaces, and so may others until the table is written again."""
         before, version = self._current(name), uuid.uuid4().hex
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/{version}")
-        out = self._fs.create(self._marker(name), True)
+        # a new marker is written beside the old one and renamed over it, so no reader finds it empty
+        fresh = self._path(f"{self.root}/{name}/_{version}")
+        out = self._fs.create(fresh, True)
         try:
             out.write(bytearray(version.encode()))
         finally:
             out.close()
-        if before:
-            self._fs.delete(self._path(f"{self.root}/{name}/{before}"), True)
+        jvm = self.spark._jvm
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, self._marker(name), how)
+        for old in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+            if old.isDirectory() and old.getPath().getName() not in (before, version):
+                self._fs.delete(old.getPath(), True)
         return self.read(name)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:

@@ -17,8 +17,10 @@ def ingest(spark: SparkSession, folder: str, store: Store, checkpoint: str, widt
     def upsert(batch: DataFrame, _: int) -> None:
         docs = batch.select(F.regexp_replace("path", "^file:/*", "/").alias("filename"), F.decode("content", "UTF-8").alias("text"))
         chunks = chunking.fixed(docs, width).select(F.md5(F.concat_ws("|", "filename", "ordinal")).alias("chunk_id"), "filename", "ordinal", F.col("chunk").alias("text"))
-        table = store.append("chunks", chunks if not store.exists("chunks") else chunks.join(store.read("chunks").select("chunk_id"), "chunk_id", "left_anti"))
-        store.write("postings", retrieval.postings(table))
+        # what a batch that broke off has appended already isn't appended again; the two tables are looked at each by itself
+        new = lambda name, rows: rows.join(store.read(name).select("chunk_id").distinct(), "chunk_id", "left_anti") if store.exists(name) else rows
+        store.append("chunks", new("chunks", chunks))
+        store.append("postings", new("postings", retrieval.postings(chunks)))
 
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -1,3 +1,7 @@
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from sparkquill.functions import columns as C
@@ -94,6 +98,40 @@ class TestRetrieval:
         q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
         assert sorted(r["vec_id"] for r in retrieval.dense_top(v, q, 4).collect()) == [1, 2, 3, 4]
 
+    def test_dense_in_tiles(self, spark, monkeypatch):
+        rnd = random.Random(4)
+        rows = [(i, [float(rnd.randint(-2, 2)) for _ in range(3)]) for i in range(300)]  # many ties
+        v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+        q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+        want = {(a, b) for a, x in rows for b, _ in sorted(((j, -sum((s - t) ** 2 for s, t in zip(x, y, strict=True))) for j, y in rows), key=lambda e: (-e[1], e[0]))[:5]}
+        assert {(r["query_id"], r["vec_id"]) for r in retrieval.dense_top(v, q, 5).collect()} == want
+
+    def test_norms_beside_weights(self, spark):
+        posted = retrieval.postings(spark.createDataFrame([("a", "red fox red"), ("b", "fox")], "chunk_id string, text string"))
+        beside = {r["chunk_id"]: r["norm"] for r in retrieval.with_norm(posted).collect()}
+        assert beside == pytest.approx({r["chunk_id"]: r["norm"] for r in retrieval.norms(posted).collect()})
+        plan = retrieval.with_norm(posted)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1  # texts, once
+
+    def test_display_and_lookup(self, spark):
+        rows = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "c", 0)], "query_id long, chunk_id string, place int")
+        assert {(r["query_id"], r["chunk_id"]): r["display"] for r in retrieval.for_display(rows).collect()} == {(1, "a"): 1, (1, "b"): 0, (2, "c"): 0}
+        assert sorted(r["chunk_id"] for r in retrieval.by_ids(rows, ["c", "a", "a", "z"]).collect()) == ["a", "c"] and retrieval.by_ids(rows, []).count() == 0
+
+    def test_mmr_against_plain_selection(self, spark):
+        rnd = random.Random(9)
+        rows = [(q, i, round(rnd.random(), 3), [rnd.uniform(-1, 1) for _ in range(4)]) for q in range(3) for i in range(12)]
+        want = {}
+        cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
+        for q in range(3):
+            left, chosen = {r[1]: r for r in rows if r[0] == q}, []
+            while len(chosen) < 5:
+                best = min(left.values(), key=lambda r: (-round(0.5 * r[2] - 0.5 * max((cos(r[3], c[3]) for c in chosen), default=0.0), 12), -r[2], r[1]))
+                chosen.append(left.pop(best[1]))
+            want[q] = [c[1] for c in chosen]
+        got = retrieval.mmr(spark.createDataFrame(rows, "query_id long, chunk_id long, score double, embedding array<double>"), 5).orderBy("query_id", "place").collect()
+        assert {q: [r["chunk_id"] for r in got if r["query_id"] == q] for q in want} == want
+
     def test_unknown_label_leaves_nothing(self, spark):
         df = spark.createDataFrame([("x", 512, "text")], "label string, chunk_size int, source_chunk_type string")
         assert retrieval.filtered(df, label="y").count() == 0
@@ -110,6 +148,15 @@ class TestRetrieval:
 
 
 class TestLayout:
+    def test_first_row_as_header(self, spark):
+        cells = spark.createDataFrame([("t", 2, 0, "name"), ("t", 2, 1, "age"), ("t", 3, 0, "Ann"), ("t", 3, 1, "7"), ("t", 4, 2, "extra"), ("u", 0, 0, "only")], "table_id string, row_index int, column_index int, content string")
+        got = {(r["table_id"], r["row_index"], r["name"], r["content"]) for r in layout.first_row_as_header(cells).collect()}
+        assert got == {("t", 3, "name", "Ann"), ("t", 3, "age", "7"), ("t", 4, None, "extra")}
+
+    def test_small_images_go(self, spark):
+        images = spark.createDataFrame([(1, 100, 100), (2, 99, 100), (3, 100, 20)], "id long, width int, height int")
+        assert [r["id"] for r in layout.large_enough(images, 100, 100).collect()] == [1]
+
     def test_touching_boxes_meet(self, spark):
         box = "page int, box struct<x0:int,y0:int,x1:int,y1:int>, id int"
         blocks = spark.createDataFrame([(1, (0, 0, 10, 10), 1), (1, (11, 0, 20, 10), 2), (2, (0, 0, 10, 10), 3)], box)

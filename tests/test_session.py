@@ -1,8 +1,10 @@
 import io
 import zipfile
+import zlib
 
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
 from sparkquill.plans import config as config_
 from sparkquill.plans import models
@@ -37,6 +39,46 @@ def test_docx_reader():
         files.read_doc(b"")
 
 
+def pdf(pages, compress=True, extra=b""):
+    """A PDF of pages of content streams."""
+    out = b"%PDF-1.4\n"
+    for n, body in enumerate(pages):
+        data = zlib.compress(body) if compress else body
+        out += b"%d 0 obj\n<< /Length %d%s >>\nstream\n%s\nendstream\nendobj\n" % (n + 1, len(data), b" /Filter /FlateDecode" if compress else b"", data)
+    return out + extra + b"%%EOF"
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_pdf_reader(compress):
+    one = b"BT /F1 12 Tf 72 700 Td (First \\(line\\)) Tj 0 -14 Td [(sec) 20 (ond) -300 (line)] TJ ET\nBT <48656C6C6F> Tj ET"
+    two = b"q 1 0 0 1 0 0 cm Q\nBT 1 0 0 1 72 700 Tm (caf\\351) Tj ET"
+    assert files.read_pdf(pdf([one, two], compress)) == [("text", "First (line)\nsecond line", 0), ("text", "Hello", 0), ("text", "caf\u00e9", 1)]
+    for broken in (b"no pdf", pdf([one], compress, b"/Encrypt 5 0 R"), pdf([b"q Q"], compress)):
+        with pytest.raises(ValueError, match="PDF"):
+            files.read_pdf(broken)
+
+
+def test_unreadable_files_are_rows(spark):
+    some = [("/a.doc", b"\xd0\xcf"), ("/b.pdf", b"%PDF-1.4 nothing"), ("/c.txt", b"text"), ("/d.xlsx", b"PK.."), ("/e.docx", b"no zip"), ("/f.dat", b"ab\0cd"), ("/g.unknown", b"plain words"), ("/h.pdf", pdf([b"BT (page one) Tj ET"]))]
+    rows = files.elements(spark.createDataFrame([(n, bytearray(c)) for n, c in some], "filename string, content binary"))
+    assert {r["filename"] for r in files.unreadable(rows).collect()} == {"/a.doc", "/b.pdf", "/d.xlsx", "/e.docx", "/f.dat"}
+    assert {(r["filename"], r["text"]) for r in files.readable(rows).collect()} == {("/c.txt", "text"), ("/g.unknown", "plain words"), ("/h.pdf", "page one")}
+
+
+def test_registries(tmp_path):
+    base = {"embeddings": {"embeddings_path": str(tmp_path), "document_settings": [{"doc_path": str(tmp_path)}]}}
+    assert config_.Config(**base).llm.type == "echo"
+    for part in ({"llm": {"type": "nobody"}}, {"semantic_search": {"reranker": "nobody"}}, {"embeddings": base["embeddings"] | {"encoder": "nobody"}}):
+        with pytest.raises(ValueError, match="known"):
+            config_.Config(**(base | part))
+
+
+def test_a_model_as_reranker(spark):
+    rerank = models.scored_by(lambda q, t: [len(set(a.split()) & set(b.split())) for a, b in zip(q, t, strict=True)], longest=3)
+    got = spark.createDataFrame([("a b", "a b c d"), ("d", "a b c d"), (None, "x")], "q string, t string").select(rerank(F.col("q"), F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in got] == [2.0, 0.0, 0.0]
+
+
 def test_html_reader():
     page = b"<html><head><style>p{}</style><script>var a='<p>no</p>'</script></head><body><nav><p>menu</p></nav><h1>T &amp; U</h1><p>one <b>two</b></p></body></html>"
     assert files.read_html(page) == [("heading", "T & U", 1), ("text", "one two", None)]
@@ -118,6 +160,11 @@ def test_config_checks(tmp_path):
         config_.Config(**bad)
 
 
+def test_answers_need_a_known_label(spark, session):
+    with pytest.raises(ValueError, match="unknown label"):
+        session[0].answer("anything", label="nobody's")
+
+
 def test_model_helpers():
     assert models.query_versions(lambda _: " a \n\nb", "q", 2) == ["a", "b"]
     with pytest.raises(ValueError):
