@@ -451,7 +451,7 @@ def test_related_texts_share_a_path(spark):
     river, steel = "the river runs under old stone bridges toward a quiet harbour".split(), "molten steel cools slowly inside heavy iron moulds near furnaces".split()
     rows = [(i, " ".join(w[i % 7 :] + w[: i % 7][::-1])) for i, w in enumerate([river, steel] * 8)]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
-    paths = got.groupby("path").doc_id.apply(lambda x: {i % 2 for i in x})
+    paths = got[~got.path.str.endswith("copies")].groupby("path").doc_id.apply(lambda x: {i % 2 for i in x})
     assert all(len(p) == 1 for p in paths) and len(paths) < 8
 
 
