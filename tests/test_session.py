@@ -6,6 +6,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from sparkquill.__main__ import talk
 from sparkquill.plans import config as config_
 from sparkquill.plans import models
 from sparkquill.plans.session import SearchSession
@@ -160,6 +161,24 @@ def test_config_checks(tmp_path):
         config_.Config(**bad)
 
 
+def test_talk(spark, session):
+    lines, said = iter(["Which metal conducts electricity?", ""]), []
+    talk(session[0], read=lambda: next(lines), write=said.append)
+    numbers = [int(x[1 : x.index("]")]) for x in said[1:]]
+    assert numbers == sorted(numbers, reverse=True) and numbers[-1] == 1
+    lines, said = iter(["anything", ""]), []
+    talk(session[0], "nobody's", lambda: next(lines), said.append)
+    assert said[0].startswith("error: unknown label")
+
+
+def test_unreadable_files_of_a_configuration(spark, session):
+    s, docs = session
+    (docs / "broken.docx").write_bytes(b"no archive")
+    assert [r["filename"].rpartition("/")[2] for r in s.unreadable().collect()] == ["broken.docx"]
+    s.update()
+    assert s.by_ids([r["chunk_id"] for r in s.store.read("chunks").limit(2).collect()] + ["none"]).count() == 2
+
+
 def test_answers_need_a_known_label(spark, session):
     with pytest.raises(ValueError, match="unknown label"):
         session[0].answer("anything", label="nobody's")
