@@ -175,7 +175,6 @@ def test_large_groups_of_a_bucket(few, monkeypatch):
     want = brute.classes(texts(d), 2, 0.6)
     assert {r["doc_id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in ngram_join.join(d).collect()} == want
     # the same with members met one after the other
-    rows, sizes = [], []
     done = ngram_join._meet(0.6)
     names = np.arange(1, 31, dtype=np.uint64)
     pack = lambda x: ngram_join._squeeze(np.array(x), 4)
@@ -183,7 +182,7 @@ def test_large_groups_of_a_bucket(few, monkeypatch):
     edges = [set(zip(*(c.to_pylist() for c in next(done(0, [row])).columns), strict=True))]
     monkeypatch.setattr(ngram_join, "SMALL", 4)
     edges.append(set(zip(*(c.to_pylist() for c in next(done(0, [row])).columns), strict=True)))
-    assert all(len(brute.groups(list(e))) == 30 and len(set(brute.groups(list(e)).values())) == 1 for e in edges) and not rows and not sizes
+    assert all(len(brute.groups(list(e))) == 30 and len(set(brute.groups(list(e)).values())) == 1 for e in edges)
 
 
 def test_keep_one_decides_by_row(spark):
@@ -376,7 +375,7 @@ def linked(few):
 
 def test_points_are_tfidf_in_the_leading_directions(few):
     """Cosines of points against those of a singular value decomposition of the whole TF-IDF matrix, as all of few is in the sample."""
-    docs, words = texts(few), {}
+    docs = texts(few)
     signed = packing.cut(packing.nodes(few))
     node = {r["doc_id"]: r["node"] for r in signed.where("words >= 0").collect()}
     feature = lambda w: int(packing.tk.word_hash(w)) >> (64 - packing.FEATURES)
@@ -395,7 +394,7 @@ def test_points_are_tfidf_in_the_leading_directions(few):
     want /= np.linalg.norm(want, axis=1, keepdims=True)
     got = {r["node"]: np.frombuffer(r["point"], np.float32) for r in packing.embed(few, signed).collect()}
     got = np.stack([got[v] for v in order])
-    assert np.abs(got @ got.T - want @ want.T).max() < 1e-3 and not words
+    assert np.abs(got @ got.T - want @ want.T).max() < 1e-3
 
 
 def test_graph_against_all_pairs(linked):
