@@ -155,6 +155,26 @@ def test_join_in_small_buckets_and_tiles(few, monkeypatch, small):
     assert {r["doc_id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in ngram_join.join(few).collect()} == want
 
 
+@pytest.mark.parametrize("small", [{"PASS": 1}, {"PASS": 1, "BUCKET": 3_000, "LEAST_COMMON": 2}, {"PASS": 1, "BUCKET": 200, "PASSES": 8}])
+def test_join_in_parts(few, monkeypatch, small):
+    for name, value in small.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    want = brute.classes(texts(few), 2, 0.6)
+    assert {r["doc_id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in ngram_join.join(few).collect()} == want
+
+
+def test_pairs_of_tiles_take_turns(spark, monkeypatch):
+    rows = [(i, "a shared start of all " + " ".join(f"w{i % 7}x{j}" for j in range(12)) + f" end{i}") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("TILE", 3), ("COPIES", 1), ("LEAST_COPIED", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    moved, tiles = [], ngram_join._tiles
+    monkeypatch.setattr(ngram_join, "_tiles", lambda *a: moved.append((out := tiles(*a)).count()) or out)
+    want = brute.classes(texts(d), 2, 0.6)
+    assert {r["doc_id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in ngram_join.join(d).collect()} == want
+    assert len(moved) > 1 and max(moved) <= 4 * len(rows), moved  # so many copies at a time, however many tiles a block has
+
+
 def test_groups_are_united():
     rnd = np.random.default_rng(2)
     a, b, root = rnd.integers(0, 200, 120), rnd.integers(0, 200, 120), np.arange(200)
