@@ -682,3 +682,23 @@ def test_pipeline_against_plain_version(spark, few, tmp_path):
     key = lambda x: sorted(map(tuple, x[["window_id", "slot", "doc_id", "path", "from_word", "to_word"]].values.tolist()))
     assert key(kept) == key(got)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "ngram_jaccard_join", "secret_scans", "packing"]
+
+
+def test_pipeline_keeps_a_ledger_of_blobs(spark, tmp_path):
+    old, new, plain = 'password = "hunter2hunter2"', "token: ghp_" + "a" * 36, "nothing to hide"
+    docs = spark.createDataFrame([(1, old, "x"), (2, old, "y"), (3, plain, "z"), (4, None, "n")], "doc_id long, text string, more string")
+    more = docs.union(spark.createDataFrame([(5, new, "w")], docs.schema))
+    read = lambda d: sorted((r["doc_id"], r["text"], r["more"]) for r in d.collect())
+    alone = corpus_pipeline.without_secrets(spark, docs, DIR)
+    assert alone.columns == docs.columns and read(alone) == read(secrets.redact(docs))
+    spark.conf.set(corpus_pipeline.LEDGER, f"file://{tmp_path}/ledger")
+    try:
+        for d in (docs, more):
+            assert read(corpus_pipeline.without_secrets(spark, d, DIR)) == read(secrets.redact(d))
+        ledger = secrets.kept_ledger(spark, f"file://{tmp_path}/ledger")
+        assert ledger.count() == 3  # each blob once, though two runs met it and two rows hold one
+        # a blob that the ledger has without findings isn't scanned
+        told = ledger.withColumn("findings", F.filter("findings", lambda x: F.lit(False)))
+        assert read(secrets.clean(more, told)[0]) == read(more) and secrets.clean(more, told)[1].count() == 0
+    finally:
+        spark.conf.unset(corpus_pipeline.LEDGER)
