@@ -3,6 +3,7 @@
 import base64
 import os
 import random
+import time
 from collections import Counter
 from functools import cache
 from pathlib import Path
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkquill.llm import bpe, graph, imatch, licenses, ngram_join, packing, ppm, queries, repetition, secrets, simple8b, toxicity
+from sparkquill.llm.frames import cut
 from tests.test_queries import duck, rows  # noqa: F401
 
 from . import brute
@@ -155,6 +157,22 @@ def test_join_in_small_buckets_and_tiles(few, monkeypatch, small):
     assert {r["doc_id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in ngram_join.join(few).collect()} == want
 
 
+def shuffled(spark):
+    """The shuffle files that are there now, in a local master."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    before = shuffled(spark)
+    held = spark.range(1_000).repartition(3, "id")  # held, so no garbage collection can have removed its files
+    assert len(cut(held).collect()) == 1_000
+    until = time.time() + 10
+    while shuffled(spark) - before and time.time() < until:  # Spark deletes them in the background
+        time.sleep(0.1)
+    assert not shuffled(spark) - before
+
+
 @pytest.mark.parametrize("small", [{"PASS": 1}, {"PASS": 1, "BUCKET": 3_000, "LEAST_COMMON": 2}, {"PASS": 1, "BUCKET": 200, "PASSES": 8}])
 def test_join_in_parts(few, monkeypatch, small):
     for name, value in small.items():
