@@ -58,6 +58,62 @@ def walk(near: dict[int, list[int]], sims: dict[tuple[int, int], float]) -> list
     return paths
 
 
+def across(paths: list[list[int]], sims: dict[tuple[int, int], float], shard: dict[int, int]) -> list[list[int]]:
+    """paths, each walked inside a shard, in their order, after the links between shards have had their turn among the steps, one link after the other."""
+    key = lambda e: (-sims[e], e)
+    edge = lambda a, b: (min(a, b), max(a, b))
+    first = {v: (i, j) for i, p in enumerate(paths) for j, v in enumerate(p)}
+    steps = {edge(a, b) for p in paths for a, b in zip(p[:-1], p[1:], strict=True)}
+    degree, taken = dict.fromkeys(first, 0), set()
+
+    def take(links: set) -> None:
+        for a, b in sorted(links, key=key):
+            if degree[a] < 2 and degree[b] < 2:
+                taken.add((a, b))
+                degree[a] += 1
+                degree[b] += 1
+
+    take(steps | {e for e in sims if shard[e[0]] != shard[e[1]]})
+    freed = {v for e in steps - taken for v in e}
+    take({e for e in sims if shard[e[0]] == shard[e[1]] and freed & set(e)} - steps)
+    # unbroken stretches of the walked paths
+    head, stretches = {}, {}
+    for p in paths:
+        for j, v in enumerate(p):
+            head[v] = head[p[j - 1]] if j and edge(p[j - 1], v) in taken else v
+            stretches.setdefault(head[v], []).append(v)
+    left = {e for e in taken - steps if head[e[0]] != head[e[1]]}
+    out = {}
+    parts: list[set] = []
+    for h in stretches:
+        part, todo = {h}, [h]
+        while todo:
+            x = todo.pop()
+            for a, b in left:
+                for u, w in ((head[a], head[b]), (head[b], head[a])):
+                    if u == x and w not in part:
+                        part.add(w)
+                        todo.append(w)
+        if part not in parts:
+            parts.append(part)
+    for part in parts:
+        own = {e for e in left if head[e[0]] in part}
+        if len(part) > 1 and len(own) == len(part):
+            own.remove(max(own, key=key))  # a ring opens at its worst join
+        at = min(h for h in part if sum(h in (head[a], head[b]) for a, b in own) < 2)
+        start, path = at, []
+        while at is not None:
+            come = path[-1] if path else None
+            enter = next((v for e in own for v in e if come in e and v != come and head[v] == at), None)
+            own = {e for e in own if not (come in e and enter in e)}
+            go = next(((v, e[0] + e[1] - v) for e in sorted(own) for v in e if head[v] == at), None)
+            run = stretches[at]
+            path += run[::-1] if len(run) > 1 and (enter == run[-1] if enter is not None else go and go[0] == run[0]) else run
+            at = head[go[1]] if go else None
+        out[first[start]] = path
+    return [out[k] for k in sorted(out)]
+
+
 def windows(sizes: list[tuple[int, int]], window: int) -> list[tuple[int, int, int, int]]:
     """(window, document, from, to), word by word, of documents (id, words) in order; one without a word has an empty piece."""
     out: list[list[int]] = []

@@ -484,6 +484,71 @@ def test_walk_windows_and_order_against_plain_versions(few, linked):
     assert packing.walk([(1, 2, 0.9), (2, 3, 0.5), (2, 4, 0.7)]) == [(0, 1), (0, 2), (0, 4), (1, 3)]
 
 
+@pytest.mark.parametrize("at_once", [packing.AT_ONCE, 0])
+def test_links_between_shards_against_plain_version(spark, at_once):
+    """Many shards: the paths are those of going through the links one by one, and links that leave a shard are used as often as others."""
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").where("n_chars < 800").select("doc_id", F.lower("text").alias("text")).dropDuplicates(["text"])
+    size = 64
+    linked, signed = packing.links(docs, shard=packing.LEAF)
+    rows = linked.collect()
+    shard = {r["node"]: r["shard"] for r in rows}
+    sims: dict = {}
+    for r in rows:
+        for e in r["near"]:
+            at = (min(r["node"], e["node"]), max(r["node"], e["node"]))
+            sims[at] = max(sims.get(at, -2), -e["far"])
+    walked, paths = {}, []
+    for s in sorted(set(shard.values())):
+        near: dict = {v: set() for v in shard if shard[v] == s}
+        for a, b in sims:
+            if shard[a] == shard[b] == s:
+                near[a].add(b)
+                near[b].add(a)
+        walked[s] = brute.walk({v: sorted(n) for v, n in near.items()}, sims)
+        paths += walked[s]
+    want = brute.across(paths, sims, shard)
+    assert len(walked) >= 4 and sorted(v for p in want for v in p) == sorted(shard)
+    out = packing.pack(docs, window=size, shard=packing.LEAF, at_once=at_once).toPandas().sort_values(["window_id", "slot"])
+    node = {r["doc_id"]: r["node"] for r in signed.where("node IS NOT NULL").orderBy(F.desc("doc_id")).collect()}  # of a node's rows the least id is placed
+    heads = {min(i for i, v in node.items() if v == n) for n in set(node.values())}
+    got: dict = {}
+    for d, path, begin in zip(out.doc_id, out.path, out.from_word, strict=True):
+        if d in heads and not path.endswith("copies") and begin == 0:
+            got.setdefault(path, []).append(node[d])
+    assert list(got.values()) == want
+    fill = (out.to_word - out.from_word).groupby(out.window_id).sum()
+    assert fill.sum() == sum(len(brute.words(t)) for t in texts(docs).values()) and (fill <= size).all() and (fill < size).sum() <= len(walked)
+    used = [(min(a, b), max(a, b)) for p in want for a, b in zip(p[:-1], p[1:], strict=True)]
+    leaving = [e for e in sims if shard[e[0]] != shard[e[1]]]
+    assert len(set(used) & set(leaving)) / len(leaving) > 0.5 * len(used) / len(sims) and len(leaving) > 50
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11), st.integers(1, 5)), max_size=40))
+def test_chains_against_plain_version(some):
+    """Joins over six stretches of two nodes each: chains and rings of any shape."""
+    paths = [[2 * i + 1, 2 * i] if i % 2 else [2 * i, 2 * i + 1] for i in range(6)]
+    shard = {v: i for i, p in enumerate(paths) for v in p}
+    sims = {(2 * i, 2 * i + 1): 1.0 for i in range(6)}
+    degree = dict.fromkeys(shard, 1)
+    for a, b, s in some:
+        if shard[a] != shard[b] and (min(a, b), max(a, b)) not in sims and degree[a] < 2 and degree[b] < 2:
+            sims[min(a, b), max(a, b)] = s / 10
+            degree[a] += 1
+            degree[b] += 1
+    head = {v: p[0] for p in paths for v in p}
+    joins = [(0, a, b, -s, head[a], head[b]) for (a, b), s in sims.items() if s < 1]
+    got: dict = {p[0]: (p[0], 0, False) for p in paths}
+    for batch in packing._chains(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*joins, strict=True)], list("abcdef"))] if joins else [])):
+        got |= {r["head"]: (r["start"], r["nth"], r["back"]) for r in batch.to_pylist()}
+    want = brute.across(paths, sims, shard)
+    made: dict = {}
+    for h, (start, _, back) in sorted(got.items(), key=lambda x: x[1][1]):
+        p = next(p for p in paths if p[0] == h)
+        made.setdefault(start, []).extend(p[::-1] if back else p)
+    assert sorted(made.values()) == sorted(want)
+
+
 def test_related_texts_share_a_path(spark):
     river, steel = "the river runs under old stone bridges toward a quiet harbour".split(), "molten steel cools slowly inside heavy iron moulds near furnaces".split()
     rows = [(i, " ".join(w[i % 7 :] + w[: i % 7][::-1])) for i, w in enumerate([river, steel] * 8)]
