@@ -85,17 +85,17 @@ def _some(low: Column, rule: Rule) -> Column:
     return some
 
 
-def _without(text: Column, low: Column, rules: tuple[Rule, ...]) -> Column:
-    """The text with the matches of the rules, one rule after the other, replaced by [rule]; low: the text as it was, in lower case."""
+def _without(rows: DataFrame, name: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """rows with the matches of the rules in the column of that name, one rule after the other, replaced by [rule]; low: the text as it was, in
+    lower case.  Each rule is a projection, as it names twice what those before it leave: one expression for all would double with every rule."""
     for rule in rules:
-        text = F.when(_some(low, rule), F.regexp_replace(text, F.lit(rule.pattern), F.lit(f"[{rule.rule}]"))).otherwise(text)
-    return text
+        rows = rows.withColumn(name, F.when(_some(F.col("low"), rule), F.regexp_replace(name, F.lit(rule.pattern), F.lit(f"[{rule.rule}]"))).otherwise(F.col(name)))
+    return rows
 
 
-def _matches(text: Column, low: Column, rule: Rule, before: tuple[Rule, ...]) -> Column:
-    """All matches of the rule in the text, none without its literals; before: the rules before it."""
-    read = _without(text, low, before) if rule.after else text
-    return F.when(_some(low, rule), F.regexp_extract_all(read, F.lit(rule.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _matches(text: Column, low: Column, rule: Rule) -> Column:
+    """All matches of the rule in the text, none without its literals."""
+    return F.when(_some(low, rule), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -108,9 +108,12 @@ def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     else:
         rows = rows.withColumn("pairs", wanted)
     one = rows.dropDuplicates(["blob"]).withColumn("low", F.lower("text"))
+    for i, rule in enumerate(rules):
+        if rule.after:
+            one = _without(one.withColumn(f"left{i}", F.when(F.array_contains("pairs", pair(rule)) & _some(F.col("low"), rule), F.col("text"))), f"left{i}", rules[:i])
 
     def found(i: int, rule: Rule) -> Column:
-        secrets = F.when(F.array_contains("pairs", pair(rule)), _matches(F.col("text"), F.col("low"), rule, rules[:i]))
+        secrets = F.when(F.array_contains("pairs", pair(rule)), _matches(F.col(f"left{i}" if rule.after else "text"), F.col("low"), rule))
         # the match may hold the name before the value; the mask shows neither
         named = F.transform(secrets, lambda x, n: F.struct(F.lit(rule.rule).alias("rule"), F.lit(rule.version).alias("version"), (n + 1).alias("n"), F.sha2(x.cast("binary"), 256).alias("secret_sha256"), F.concat(F.substring(x, 1, 4), F.lit("..."), F.length(x).cast("string")).alias("mask")))
         return F.coalesce(named, F.array().cast("array<struct<rule:string,version:int,n:int,secret_sha256:string,mask:string>>"))
@@ -140,8 +143,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret in text_col replaced by [rule]; every row is kept."""
-    text = _without(docs[text_col], F.lower(docs[text_col]), rules)
-    return docs.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    mine = docs.select(*(docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)), docs[text_col].alias("text"), F.lower(docs[text_col]).alias("low"))
+    return _without(mine, "text", rules).select(*(F.col("text" if c == text_col else f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def clean(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
@@ -150,9 +153,8 @@ def clean(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, .
     new = cut(scan_blobs(mine.select("blob", "text"), ledger, rules))
     every = new if ledger is None else ledger.unionByName(new)
     found = every.where(F.exists("findings", lambda x: _current(x, rules))).select(F.col("blob").alias("_found")).distinct()
-    met = mine.join(found, F.col("blob") == F.col("_found"), "left")
-    text = F.when(F.col("_found").isNotNull(), _without(F.col("text"), F.lower("text"), rules)).otherwise(F.col("text"))
-    return met.select(*((text if c == "text" else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns))), new
+    met = mine.join(found, F.col("blob") == F.col("_found"), "left").withColumn("low", F.when(F.col("_found").isNotNull(), F.lower("text")))  # none has no literal of a rule
+    return _without(met, "text", rules).select(*(F.col("text" if c == "text" else f"_c{i}").alias(c) for i, c in enumerate(docs.columns))), new
 
 
 def kept_ledger(spark: SparkSession, folder: str) -> DataFrame | None:

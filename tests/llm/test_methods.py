@@ -767,6 +767,23 @@ def test_pipeline_against_plain_version(spark, few, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "ngram_jaccard_join", "secret_scans", "packing"]
 
 
+def test_a_round_of_components_reads_its_edges_four_times(spark):
+    """The driver's memory: with unions it was 16 times."""
+    now = cut(spark.createDataFrame([(2, 1), (3, 2), (5, 4)], "a long, b long"))
+    assert graph._round(now)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 4
+    assert sorted(tuple(r) for r in graph.components(now).collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+
+
+def test_plans_name_each_rule_once(spark):
+    """The driver's memory: plans grow with the rules, not with a power of 2 of them."""
+    docs = spark.createDataFrame([(1, 'password = "hunter2hunter2"'), (2, None)], "doc_id long, text string")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    rules, before = len(secrets.RULES), next(i for i, r in enumerate(secrets.RULES) if r.after)
+    assert plan(secrets.redact(docs)).count("regexp_replace") == plan(secrets.clean(docs)[0]).count("regexp_replace") == rules
+    blobs = secrets.scan_blobs(docs.select(secrets.blob(F.col("text")).alias("blob"), "text"))
+    assert (plan(blobs).count("regexp_replace"), plan(blobs).count("regexp_extract_all")) == (before, rules)
+
+
 def test_pipeline_keeps_a_ledger_of_blobs(spark, tmp_path):
     old, new, plain = 'password = "hunter2hunter2"', "token: ghp_" + "a" * 36, "nothing to hide"
     docs = spark.createDataFrame([(1, old, "x"), (2, old, "y"), (3, plain, "z"), (4, None, "n")], "doc_id long, text string, more string")
