@@ -549,6 +549,22 @@ def test_chains_against_plain_version(some):
     assert sorted(made.values()) == sorted(want)
 
 
+def test_packing_gets_texts_in_small_batches(spark, documents, monkeypatch):
+    """The executors' memory: everything that goes through Python does so in batches of at most BATCH rows."""
+    key, seen, cut_ = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.cut
+
+    def spy(df):
+        if "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString():
+            rows = df.sparkSession.range(0, 5_000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+            seen.append(max(r["n"] for r in rows.collect()))
+        return cut_(df)
+
+    before = spark.conf.get(key)
+    monkeypatch.setattr(packing, "cut", spy)
+    assert packing.pack(documents).count() >= documents.count()
+    assert len(seen) >= 4 and max(seen) <= packing.BATCH and spark.conf.get(key) == before
+
+
 def test_related_texts_share_a_path(spark):
     river, steel = "the river runs under old stone bridges toward a quiet harbour".split(), "molten steel cools slowly inside heavy iron moulds near furnaces".split()
     rows = [(i, " ".join(w[i % 7 :] + w[: i % 7][::-1])) for i, w in enumerate([river, steel] * 8)]
