@@ -75,15 +75,15 @@ def word_terms(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h, doc
 
 
-def document_frequency(texts: DataFrame, size: int, hits: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
-    """In how many texts (one column) each of size terms occurs; all texts are read.  hits: the numbers of the terms of each text, each once a text."""
+def document_frequency(texts: DataFrame, size: int, hits: Callable[[pa.Array], np.ndarray], limit: int = tk.SLICE_BYTES) -> np.ndarray:
+    """In how many texts (one column) each of size terms occurs; all texts are read.  hits: the numbers of the terms of each text, each once a text; limit: bytes of text at a time."""
     if not size:
         return np.zeros(0, np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for part in tk.slices(batch, 0):
+            for part in tk.slices(batch, 0, limit):
                 total += np.bincount(hits(part.column(0)), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["k", "n"])

@@ -163,7 +163,7 @@ def score(docs: DataFrame, min_units: int = MIN_UNITS, max_covered: float = MAX_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.slices(batch, 1):
+            for part in tk.slices(batch, 1, tk.SMALL_SLICE):
                 each = tk.units(*tk.codepoints(part.column(1)))
                 units, repeats, covered, longest = analyse(part.column(1), min_units, each)
                 tandems = tandem(each, part.num_rows, min_units)
@@ -181,7 +181,7 @@ def keep(docs: DataFrame, text_col: str = "text", min_units: int = MIN_UNITS, ma
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.slices(batch, at):
+            for part in tk.slices(batch, at, tk.SMALL_SLICE):
                 each = tk.units(*tk.codepoints(part.column(at)))
                 _, _, covered, longest = analyse(part.column(at), min_units, each)
                 yield part.filter(pa.array(_accept(covered, longest, tandem(each, part.num_rows, min_units), max_covered, max_longest)))

@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .frames import cut, text_rows
+from .frames import batches, cut, text_rows
 from .licenses import document_frequency
 
 GRAMS, TIMES = (5, 7), 3
 SAMPLE_ROWS, MIN_CHI2, MIN_LIFT, NEIGHBOURS, BLOCK, THRESHOLD = 20_000, 25.0, 5.0, 15, 64, 0.5
 CACHE, OPEN_FIRST = 50_000, 2
+BATCH = 1_000  # rows that travel to Python at a time while a model is fitted
 SCHEMA = "doc_id long, toxic_score double, is_toxic boolean, vote double, evidence array<struct<doc_id:long,cosine:double,toxic:boolean>>"
 _HEAD, _TAIL = tk.U64(0xA24BAED4963EE407), tk.U64(0x9FB21C651E98DF25)
 
@@ -217,7 +218,7 @@ class Model:
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, occurrence, toxic documents, others) over the task's labelled rows (text, toxic)."""
     for batch in batches:
-        for part in tk.slices(batch, 0):
+        for part in tk.slices(batch, 0, tk.SMALL_SLICE):
             h, doc = grams(part.column(0))
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
@@ -242,6 +243,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: in
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, min_chi2: float = MIN_CHI2, min_lift: float = MIN_LIFT, k: int = NEIGHBOURS) -> Model:
     """The frozen model: selected terms, their idf over all docs, the examples' index, and the calibration."""
+    with batches(docs.sparkSession, BATCH):
+        return _fit(docs, labels, label_col, sample_rows, min_chi2, min_lift, k)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, label_col: str, sample_rows: int, min_chi2: float, min_lift: float, k: int) -> Model:
     sample = labelled_sample(docs, labels, label_col, sample_rows)
     size = {bool(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = size.get(True, 0), size.get(False, 0)
@@ -254,12 +260,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_row
     telling = (F.col("a") > 0) & (F.col("a") * max(neg, 1) >= F.col("b") * pos * min_lift)
     chosen = seen.where(telling).withColumn("chi2", chi2).where((F.col("chi2") >= min_chi2) if neg else F.lit(True)).orderBy(F.desc("chi2"), "gram", "times").toArrow()
     model.terms = Terms(chosen["gram"].to_numpy().astype(np.int64).view(tk.U64), chosen["times"].to_numpy().astype(np.int64))
-    df = document_frequency(text_rows(docs).select("text"), model.terms.size, model.terms.hits)
+    df = document_frequency(text_rows(docs).select("text"), model.terms.size, model.terms.hits, tk.SMALL_SLICE)
     model.idf = np.log((1 + docs.count()) / (1 + df)) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.slices(batch, 1):
+            for part in tk.slices(batch, 1, tk.SMALL_SLICE):
                 got = list(model.vectors(part.column(1)))
                 at = pa.array([d for d, _, _ in got], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -278,6 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_row
         votes = [model.vote(np.array(t), np.array(w), int(i))[0] for i, t, w in zip(model.index.ids, terms, weights, strict=True)]
         some = np.array([v is not None for v in votes])
         model.steps = isotonic(np.array([v for v in votes if v is not None]), toxic[some].astype(float))
+        model.cache = {}  # the model goes to every worker
     return model
 
 
@@ -287,7 +294,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, model: Model | None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.slices(batch, 1):
+            for part in tk.slices(batch, 1, tk.SMALL_SLICE):
                 p, votes, evidence = shared.value.score(part.column(0), part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array([x >= threshold and v is not None for x, v in zip(p, votes, strict=True)], pa.bool_()), pa.array(votes, pa.float64()), evidence], ["doc_id", "toxic_score", "is_toxic", "vote", "evidence"])
 
@@ -301,7 +308,7 @@ def keep(docs: DataFrame, labels: DataFrame | None = None, model: Model | None =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.slices(batch, at):
+            for part in tk.slices(batch, at, tk.SMALL_SLICE):
                 p, votes, _ = shared.value.score(part.column(name), part.column(at))
                 yield part.filter(pa.array([x < threshold or v is None for x, v in zip(p, votes, strict=True)], pa.bool_()))
 

@@ -4,6 +4,7 @@ import base64
 import os
 import random
 import time
+import tracemalloc
 from collections import Counter
 from functools import cache
 from pathlib import Path
@@ -616,6 +617,37 @@ def test_nearest_by_blocks_is_exact():
         assert found.tolist() == want and np.allclose(cos, every[want])
 
 
+def test_tasks_work_on_little_text_at_a_time(spark, documents, monkeypatch):
+    """The executors' memory: what the pipeline's first three stages do in Python takes little for a large batch of texts, batches of the toxicity's
+    fit are small, and what a model has looked up while it was fitted doesn't go to the workers."""
+    seen, some, key = [], [t for t in texts(documents).values() if t], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, through = spark.conf.get(key), type(documents).mapInArrow
+
+    def spy(df, func, schema, *rest):
+        if "text" in df.columns:
+            seen.append((df.columns, func, int(spark.conf.get(key))))
+        return through(df, func, schema, *rest)
+
+    monkeypatch.setattr(type(documents), "mapInArrow", spy)
+    labels = documents.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    model = toxicity.fit(documents, labels, min_chi2=1.0, min_lift=1.0)
+    assert model.index and not model.cache and [c for *_, c in seen] == [toxicity.BATCH] * 3 and spark.conf.get(key) == before
+    kept = toxicity.keep(documents.select("doc_id", "text"), model=model), toxicity.score(documents, model=model), repetition.keep(documents.select("doc_id", "text")), repetition.score(documents)
+    assert len(kept) == 4 and ngram_join.keep_one(documents).count() and len(seen) >= 9
+    many = [some[i % len(some)] for i in range(-(-8_000_000 * len(some) // sum(map(len, some))))]
+    columns = {"doc_id": pa.array(range(len(many))), "text": pa.array(many), "key": pa.array(range(len(many))), "toxic": pa.array([i % 3 == 0 for i in range(len(many))])}
+    repetition.tk.tables(), repetition.tk.powers(1)
+    peaks = []
+    for names, func, _ in seen:
+        batch = pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+        tracemalloc.start()
+        for _ in func(iter([batch])):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert max(peaks) < 64, peaks
+
+
 def test_closed_blocks_are_not_read():
     """Examples of 20 kinds with terms of their own and a few in common: a query of one kind opens a few blocks and reads a part of its terms' postings."""
     rnd = np.random.default_rng(3)
