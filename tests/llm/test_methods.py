@@ -150,6 +150,22 @@ def test_trie_is_exact_and_prunes():
     assert trie.visited < 0.5 * nodes * len(sets)
 
 
+@pytest.mark.parametrize("room", [1, 1 << 24])
+def test_near_copies_walk_the_tree_together(monkeypatch, room):
+    monkeypatch.setattr(ngram_join, "PROBED", room)
+    rnd = random.Random(5)
+    sets = [np.array(sorted(rnd.sample(range(330), rnd.randint(280, 320)) + rnd.sample(range(1_000, 2_000), 10)), np.uint64) for _ in range(90)]
+    sizes = [len(s) + i % 3 for i, s in enumerate(sets)]  # some n-grams are in no other set
+    overlap = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    want = {(i, j): o for i in range(90) for j in range(i) if (o := overlap(i, j)) >= 0.8 * (sizes[i] + sizes[j] - o) - 1e-9}
+    found = list(ngram_join.linked(sets, sizes, 0.8))
+    assert {(max(i, j), min(i, j)): o for part in found for i, j, o in zip(*(x.tolist() for x in part), strict=True)} == want
+    one, two = (sets[:40], sizes[:40]), (sets[40:], sizes[40:])
+    between = {(j + 40, i): o for part in ngram_join.linked(*one, 0.8, two) for i, j, o in zip(*(x.tolist() for x in part), strict=True)}
+    assert between == {p: o for p, o in want.items() if p[1] < 40 <= p[0]}
+    assert len(want) > 500 and (room == 1 or len(found) <= len(sets))  # arrays of links by node, not a step for each pair
+
+
 @pytest.mark.parametrize("small", [{"TILE": 2}, {"BUCKET": 3_000}, {"LEAST_COMMON": 2}, {"TILE": 1, "BUCKET": 500, "LEAST_COMMON": 3}])
 def test_join_in_small_buckets_and_tiles(few, monkeypatch, small):
     for name, value in small.items():
