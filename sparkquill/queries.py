@@ -381,22 +381,31 @@ def page_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 WIDTHS = (512, 1024)
 
 
-def chunk_table(spark: SparkSession, sf_dir: str, widths: tuple[int, ...] = (1024,)) -> DataFrame:
-    docs, out = t(spark, sf_dir, "documents"), None
+def chunk_table(spark: SparkSession, sf_dir: str, widths: tuple[int, ...] = (1024,), docs: DataFrame | None = None) -> DataFrame:
+    docs, out = t(spark, sf_dir, "documents") if docs is None else docs, None
     for w in widths:
-        part = chunking.fixed(docs, w).select(F.concat_ws("-", F.lit(w), "doc_id", "ordinal").alias("chunk_id"), F.lit(w).alias("chunk_size"), F.col("lang").alias("label"), F.col("chunk").alias("text"))
+        part = chunking.fixed(docs, w).select(F.concat(F.lit(f"{w}-"), "doc_id", F.lit("-"), "ordinal").alias("chunk_id"), F.lit(w).alias("chunk_size"), F.col("lang").alias("label"), F.col("chunk").alias("text"))
         out = part if out is None else out.union(part)
     return out
 
 
+def single_chunks(spark: SparkSession, sf_dir: str, widths: tuple[int, ...] = (1024,), label: str = "") -> DataFrame:
+    """(chunk_id, chunk_size, text) of the chunk table with one row a chunk id: only those of documents that repeat an id are shuffled."""
+    docs = retrieval.filtered(t(spark, sf_dir, "documents").withColumn("label", F.col("lang")), label=label).drop("label")
+    again = once(docs.groupBy(F.col("doc_id").alias("again")).count().where("count > 1"))
+    chunks = lambda some: chunk_table(spark, sf_dir, widths, some).select("chunk_id", "chunk_size", "text")
+    if again.isEmpty():
+        return chunks(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    return chunks(docs.join(again, same, "left_anti")).union(retrieval.merged(chunks(docs.join(again, same, "left_semi")), keep=("chunk_size",)))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
 def sparse(spark: SparkSession, sf_dir: str, widths: tuple[int, ...] = (1024,), label: str = "", k: int = 15) -> DataFrame:
-    chunks = retrieval.filtered(chunk_table(spark, sf_dir, widths), label=label)
-    posted = retrieval.with_norm(retrieval.postings(chunks, keep=("chunk_size",)))
-    return retrieval.sparse_top(posted, None, questions(spark, sf_dir), k, ("chunk_size",))
+    return retrieval.sparse_scan(single_chunks(spark, sf_dir, widths, label), questions(spark, sf_dir), k, ("chunk_size",))
 
 
 def chunks_cte(widths: tuple[int, ...] = (1024,)) -> str:
@@ -415,12 +424,12 @@ sp AS (SELECT query_id, chunk_size, chunk_id, round(dot / pn.norm / qn.norm, 6)
 
 @query(f"WITH {chunks_cte()} SELECT chunk_id, term, round(ln(1 + count(*)), 6) AS weight FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM c) GROUP BY ALL")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.postings(chunk_table(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    return retrieval.postings_of(single_chunks(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {sparse_cte()} SELECT chunk_id, round(norm, 6) AS norm FROM pn")
 def sparse_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.norms(retrieval.postings(chunk_table(spark, sf_dir))).withColumn("norm", F.round("norm", 6))
+    return retrieval.norms_of(single_chunks(spark, sf_dir)).withColumn("norm", F.round("norm", 6))
 
 
 @query(f"WITH {sparse_cte()} SELECT * FROM sp")
@@ -493,15 +502,18 @@ pk AS (SELECT query_id, chunk_id, text, (row_number() OVER (PARTITION BY query_i
 
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     top, texts = once(sparse(spark, sf_dir, WIDTHS)), chunk_table(spark, sf_dir, WIDTHS)
-    got = top.select("query_id", "chunk_size", "chunk_id").join(texts.drop("chunk_size"), "chunk_id").join(F.broadcast(questions(spark, sf_dir)), "query_id")  # k rows a question and size
+    few = top.select("query_id", "chunk_size", "chunk_id")
+    few = F.broadcast(few) if few.count() <= retrieval.BROADCAST_ROWS else few  # else every text would be shuffled
+    got = texts.drop("chunk_size").join(few, "chunk_id").join(F.broadcast(questions(spark, sf_dir)), "query_id")  # k rows a question and size
     return once(got.withColumn("score", retrieval.overlap_score(F.col("question"), F.col("text"))).withColumn("n_chars", F.length("text")))  # read several times below
 
 
-def packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, place, chunk_id, text).  Texts go along, as a chunk id may have several."""
     r = reranked(spark, sf_dir)
     w = retrieval.best_chunk_size(retrieval.top_mean(r, ("query_id", "chunk_size")), list(WIDTHS))
-    chosen = retrieval.above_cutoff(r.join(w, ["query_id", "chunk_size"]), 0.1)
-    return once(retrieval.within_budget(chosen, 4096)), chosen
+    chosen = retrieval.above_cutoff(r.join(w, ["query_id", "chunk_size"]), 0.1).withColumn("chunk_id", F.struct("chunk_id", "text"))
+    return retrieval.within_budget(chosen, 4096).select("query_id", "place", "chunk_id.chunk_id", "chunk_id.text")
 
 
 @query(f"WITH {sparse_cte(WIDTHS)}, {RERANK}, {MEANS} SELECT * FROM a")
@@ -521,14 +533,13 @@ def score_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {sparse_cte(WIDTHS)}, {RERANK}, {MEANS}, {BEST}, {PACK} SELECT query_id, place, chunk_id FROM pk")
 def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark, sf_dir)[0]
+    return packed(spark, sf_dir).drop("text")
 
 
 @query(f"WITH RECURSIVE {sparse_cte(WIDTHS)}, {RERANK}, {MEANS}, {BEST}, {PACK} SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY place) AS context FROM pk GROUP BY query_id")
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions to contexts: chunks of two sizes, sparse top-15, re-ranking, choice of size, cutoff, budget."""
-    kept, chosen = packed(spark, sf_dir)
-    return retrieval.context(kept.join(chosen.select("query_id", "chunk_id", "text"), ["query_id", "chunk_id"]).select("query_id", "place", F.concat_ws("|", "query_id", "chunk_id").alias("chunk_id")), chosen.select(F.concat_ws("|", "query_id", "chunk_id").alias("chunk_id"), "text"))
+    return retrieval.in_order(packed(spark, sf_dir))
 
 
 @query(

@@ -114,6 +114,28 @@ class TestRetrieval:
         plan = retrieval.with_norm(posted)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1  # texts, once
 
+    @pytest.mark.parametrize("small", [{}, {"CHUNKS": 3, "TILE": 5}, {"BROADCAST_ROWS": 4}])
+    def test_sparse_scan_equals_sparse_top(self, spark, monkeypatch, small):
+        for name, value in small.items():
+            monkeypatch.setattr(retrieval, name, value)
+        rnd = random.Random(2)
+        words = lambda n: " ".join(rnd.choice("abcdefgh") for _ in range(n))
+        rows = [(f"{w}-{i}", w, rnd.choice([None, "", "?"]) if i % 9 == 0 else words(rnd.randint(1, 4))) for i in range(60) for w in (1, 2)]  # many ties
+        chunks = spark.createDataFrame([*rows, (None, 1, "a b")], "chunk_id string, size int, text string").repartition(3)
+        asked = spark.createDataFrame([(1, "a b b"), (2, "c"), (3, "z"), (None, "a"), (7, "d e f g h a")], "query_id long, question string")
+        known = chunks.where("chunk_id IS NOT NULL")
+        posted = retrieval.postings(known, keep=("size",))
+        want = retrieval.sparse_top(retrieval.with_norm(posted), None, asked.where("query_id IS NOT NULL"), 4, ("size",))
+        top = retrieval.sparse_scan(chunks, asked, 4, ("size",))
+        assert sorted(map(tuple, top.collect())) == sorted(map(tuple, want.collect())) and top.columns == want.columns
+        assert top._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning(query_id") == 1  # the best of each task, no texts or terms
+        weights = lambda some: {(r["chunk_id"], r["term"]): round(r["weight"], 12) for r in some.collect()}
+        assert weights(retrieval.postings_of(known)) == weights(posted) and retrieval.postings_of(known).count() == posted.count()
+        norms = {r["chunk_id"]: r["norm"] for r in retrieval.norms_of(known).collect()}
+        assert norms == pytest.approx({r["chunk_id"]: r["norm"] for r in retrieval.norms(posted).collect()})
+        plan = retrieval.postings_of(spark.createDataFrame(rows, "chunk_id string, size int, text string"))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan
+
     def test_display_and_lookup(self, spark):
         rows = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "c", 0)], "query_id long, chunk_id string, place int")
         assert {(r["query_id"], r["chunk_id"]): r["display"] for r in retrieval.for_display(rows).collect()} == {(1, "a"): 1, (1, "b"): 0, (2, "c"): 0}

@@ -47,3 +47,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["postings", "sparse_norms", "sparse_topk_label", "score_cutoff", "rag_context"])
+def test_repeated_and_null_ids_equal_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    again = f"SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id + 1 END AS doc_id) FROM '{DIR}/documents.parquet' WHERE doc_id < 40"
+    con.sql(f"COPY (SELECT * FROM '{DIR}/documents.parquet' UNION ALL {again}) TO '{tmp_path}/documents.parquet'")
+    con.sql(f"COPY (SELECT * FROM '{DIR}/benchmark.parquet') TO '{tmp_path}/benchmark.parquet'")
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    assert rows(queries.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(queries.ORACLES[name]).df())
