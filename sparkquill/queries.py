@@ -600,7 +600,8 @@ def boxes_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def header_from_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     nth = F.row_number().over(W.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "l_partkey"))
-    cells = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), nth.alias("row_index"), F.col("l_returnflag").alias("column_index"), F.col("l_partkey").cast("string").alias("content"))
+    lines = layout.together(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey").where("l_orderkey IS NOT NULL AND l_returnflag IS NOT NULL"), "l_orderkey")
+    cells = lines.select(F.col("l_orderkey").alias("table_id"), nth.alias("row_index"), F.col("l_returnflag").alias("column_index"), F.col("l_partkey").cast("string").alias("content"))
     return layout.first_row_as_header(cells)
 
 
