@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import splitting as S
 
+SENT = 1 << 20  # characters of chunks that a task sends on at a time
 
 def fixed(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
     """A row (ordinal, chunk) for each slice of width characters; an empty or null text has none."""
@@ -22,15 +24,27 @@ def fixed(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
 def split_with(docs: DataFrame, splitter: Callable[[str, str, int], list[tuple[str, str, int | None]]], chunk_sizes: list[int], name: str = "filename", text: str = "text") -> DataFrame:
     """(filename, chunk_size, ordinal, chunk, heading, page) for each document and chunk size; splitter: (text, name, size) to chunks."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for who, what in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
+            rows, held = [], 0
+            for who, what in zip(batch.column(0), batch.column(1), strict=True):
+                who, what = who.as_py(), what.as_py()
                 for size in chunk_sizes:
-                    rows += [(who, size, at, *chunk) for at, chunk in enumerate(splitter(what or "", who or "", size))]
-            yield pd.DataFrame(rows, columns=["filename", "chunk_size", "ordinal", "chunk", "heading", "page"]).astype({"chunk_size": "int32", "ordinal": "int32", "page": "Int32"})
+                    chunks = splitter(what or "", who or "", size)
+                    held += sum(len(c[0]) for c in chunks)
+                    rows += [(who, size, at, *chunk) for at, chunk in enumerate(chunks)]
+                if held > SENT:  # chunks go on as they are made, not when those of a whole batch of texts are
+                    yield _rows(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _rows(rows)
+
+    return docs.select(docs[name].cast("string").alias("filename"), docs[text].cast("string").alias("text")).mapInArrow(work, "filename string, chunk_size int, ordinal int, chunk string, heading string, page int")
+
 
-    return docs.select(docs[name].alias("filename"), docs[text].alias("text")).mapInPandas(work, "filename string, chunk_size int, ordinal int, chunk string, heading string, page int")
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["filename", "chunk_size", "ordinal", "chunk", "heading", "page"])
 
 
 def recursive(docs: DataFrame, chunk_sizes: list[int], overlap: int = 200, separators: tuple[str, ...] = S.DEFAULT_SEPARATORS, **names: str) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,16 @@ class TestLayout:
         got = {(r["table_id"], r["row_index"], r["name"], r["content"]) for r in layout.first_row_as_header(cells).collect()}
         assert got == {("t", 3, "name", "Ann"), ("t", 3, "age", "7"), ("t", 4, None, "extra")}
 
+    def test_header_is_sorted_once(self, spark, monkeypatch):
+        monkeypatch.setattr(layout, "ROWS", 10)
+        rows = [("t", r, c, None if (r, c) == (0, 1) else f"{r}x{c}") for r in range(9) for c in range(5)]
+        cells = layout.together(spark.createDataFrame(rows, "table_id string, row_index int, column_index int, content string"), "table_id")
+        assert cells.rdd.getNumPartitions() == 5  # of 45 rows, whatever the session says
+        out = layout.first_row_as_header(cells)
+        assert {(r["row_index"], r["column_index"], r["name"]) for r in out.collect()} == {(r, c, None if c == 1 else f"0x{c}") for r in range(1, 9) for c in range(5)}
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Join" not in plan
+
     def test_small_images_go(self, spark):
         images = spark.createDataFrame([(1, 100, 100), (2, 99, 100), (3, 100, 20)], "id long, width int, height int")
         assert [r["id"] for r in layout.large_enough(images, 100, 100).collect()] == [1]
@@ -297,6 +308,20 @@ def test_fixed_chunks(spark):
     assert [(r["id"], r["ordinal"], r["chunk"]) for r in chunking.fixed(docs, 3).collect()] == [(1, 0, "abc"), (1, 1, "def"), (1, 2, "g")]
 
 
+def test_chunks_go_on_as_they_are_made(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "SENT", 100)
+    docs = spark.createDataFrame([(f"/{i}.md", "# A\n" + "some words here. " * 20) for i in range(30)] + [("/null.md", None), (None, "short")], "filename string, text string").coalesce(1)
+    sizes, rows = [], chunking._rows
+    got = chunking.markdown(docs, [64, 128])
+    split = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: sizes.append(f) or split(self, f, schema))
+    chunking.markdown(docs, [64, 128])
+    batch = pa.RecordBatch.from_pylist([{"filename": f"/{i}.md", "text": "# A\n" + "some words here. " * 20} for i in range(30)])
+    assert len(list(sizes[0](iter([batch])))) == 30  # a document at a time, not all of a batch
+    assert [r["chunk"] for r in got.where("filename IS NULL").collect()] == ["short"] * 2 and got.where("filename = '/null.md'").count() == 2
+    assert rows([("a", 1, 0, "b", "", None)]).num_rows == 1
+
+
 def test_chunks_of_several_sizes(spark):
     docs = spark.createDataFrame([("a/b.md", "x" * 25)], "filename string, text string")
     rows = chunking.as_chunks(chunking.recursive(docs, [10, 20], overlap=0), "lab", "p: ").collect()
